@@ -1,0 +1,56 @@
+"""Cutting texts where no token can cross, and keeping what was worked out for each distinct piece."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+#: White space beside a space: there a byte-level pre-tokenizer may join them, so no cut is made in such a text.
+_BESIDE = re.compile(r"\s | \s|^ | $")
+
+
+def byte_level_pieces(text: str) -> list[str]:
+    """Cut before each single space that stands between two characters other than white space.
+
+    GPT-2's pattern starts a new word at such a space, whatever surrounds it, so the ids of the pieces joined are the
+    ids of the text.  A text with other runs of white space around a space is cut by its lines of such places instead.
+    """
+    if " " not in text:
+        return [text] if text else []
+    if _BESIDE.search(text):
+        return [x for x in re.split(r"(?<=\S)(?= \S)", text) if x]
+    first, *rest = text.split(" ")
+    return [first, *[" " + x for x in rest]]
+
+
+def spaced_pieces(text: str) -> list[str]:
+    """Cut at spaces and line ends, for tokenizers that drop white space."""
+    return text.replace("\n", " ").split(" ")
+
+
+class PieceCache:
+    """Values of pieces, worked out in batches; emptied when it has grown to its limit, so memory is bounded.
+
+    ``limit`` entries at most are kept between batches; within a batch the distinct pieces of that batch are added.
+    Pieces of over ``longest`` characters are not kept beyond their batch.
+    """
+
+    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 400_000, longest: int = 64):
+        self.work_out, self.limit, self.longest, self.values = work_out, limit, longest, {}
+        self.passing: set[str] = set()
+
+    def add(self, cut: list[list[str]]) -> None:
+        """Work out all pieces that are not known yet."""
+        for x in self.passing:
+            self.values.pop(x, None)
+        self.passing = set()
+        if len(self.values) > self.limit:
+            self.values.clear()
+        known = self.values
+        new = list({y for x in cut for y in x if y not in known})
+        if new:
+            known.update(zip(new, self.work_out(new), strict=True))
+            self.passing = {x for x in new if len(x) > self.longest}
+
+    def found(self, piece: str):
+        return self.values[piece]
