@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, chat, fingerprints, mixing, quality_model, repetition, secret_scan, token_count, token_store
+from tamarack.llm import bpe, chat, fingerprints, mixing, near_dup, quality_model, repetition, secret_scan, token_count, token_store
 from tamarack.llm.common import prepare, shared_dir
 
 
@@ -73,13 +73,17 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_store, op2_bpe, op3_fingerprints, op4_quality, op5_mixing, op6_chat, op7_secrets, op8_token_count, op10_quality_rules)
+    for f in (op1_token_store, op2_bpe, op3_fingerprints, op4_quality, op5_mixing, op6_chat, op7_secrets, op8_token_count, op9_near_dup, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
