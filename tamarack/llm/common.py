@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python workers hold at most this many bytes, so that long texts stay in bounded memory.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 4096
 
 #: ASCII white space, the separators of words in every operator here.

@@ -32,11 +32,11 @@ class PieceCache:
     """Values of pieces, worked out in batches; emptied when it has grown to its limit, so memory is bounded.
 
     ``limit`` entries at most are kept between batches; within a batch the distinct pieces of that batch are added.
-    Pieces of over ``longest`` characters are not kept beyond their batch.
+    Pieces of over ``longest`` characters are not kept beyond their batch; ``at_once`` are worked out at a time.
     """
 
-    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 400_000, longest: int = 64):
-        self.work_out, self.limit, self.longest, self.values = work_out, limit, longest, {}
+    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 200_000, longest: int = 64, at_once: int = 8192):
+        self.work_out, self.limit, self.longest, self.at_once, self.values = work_out, limit, longest, at_once, {}
         self.passing: set[str] = set()
 
     def add(self, cut: list[list[str]]) -> None:
@@ -48,9 +48,10 @@ class PieceCache:
             self.values.clear()
         known = self.values
         new = list({y for x in cut for y in x if y not in known})
-        if new:
-            known.update(zip(new, self.work_out(new), strict=True))
-            self.passing = {x for x in new if len(x) > self.longest}
+        for i in range(0, len(new), self.at_once):
+            part = new[i : i + self.at_once]
+            known.update(zip(part, self.work_out(part), strict=True))
+        self.passing = {x for x in new if len(x) > self.longest}
 
     def found(self, piece: str):
         return self.values[piece]
