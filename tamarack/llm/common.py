@@ -7,9 +7,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamarack.runtime import ship_package
+
 #: Arrow batches handed to Python workers hold at most this many bytes, so that long texts stay in bounded memory.
 ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 4096
@@ -19,7 +21,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session; a user's own setting stays."""
+    """Bound the Arrow batches of this session (a user's own setting stays) and ship the package to its workers."""
+    ship_package(spark)
     for key, default, value in (
         ("spark.sql.execution.arrow.maxBytesPerBatch", None, ARROW_BATCH_BYTES),
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_BATCH_ROWS),
@@ -58,10 +61,47 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the ids in gone, and with one row of each id that is left; rows of null ids stay.
+
+    gone may be as large as a fixed share of docs, so it isn't broadcast by hand; anti-join and window share one
+    shuffle by id.
+    """
+    left = docs.join(gone.select(F.col(id_col)).distinct(), id_col, "left_anti")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return left.withColumn("__row", first).where((F.col("__row") == 1) | F.col(id_col).isNull()).drop("__row").select(*docs.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def range_cuts(rows: DataFrame, key: str) -> list[int]:
+    """Ascending values of a long column that cut its rows into about equal ranges, one a partition; the last is its maximum.
+
+    Only the column is read, and percentile_approx summarises it; each cut is a value that occurs.  Null counts as the
+    smallest long.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    value = F.coalesce(F.col(key), F.lit(-(2**63)))
+    found = rows.agg(F.percentile_approx(value, [k / n for k in range(1, n)] + [1.0], 10 * n).alias("c"), F.max(value).alias("m")).first()
+    return sorted({*(found.c or ()), *([] if found.m is None else [found.m])})
+
+
+def cuts_array(cuts: list[int]) -> str:
+    """SQL for the cuts."""
+    if not cuts:
+        return "CAST(array() AS array<bigint>)"
+    return f"array({', '.join(f'{c}L' if c > -(2**63) else 'CAST(-9223372036854775808 AS BIGINT)' for c in cuts)})"
+
+
+def range_of(key: str, cuts: list[int]) -> Column:
+    """The number of cuts below the key, by binary search: range k holds the keys above cut k-1 up to cut k."""
+    steps = ", ".join(str(2**k) for k in reversed(range(max(1, len(cuts).bit_length()))))
+    value = f"coalesce({key}, CAST(-9223372036854775808 AS BIGINT))"
+    return F.expr(f"aggregate(array({steps}), 0, (lo, s) -> if(lo + s <= {len(cuts)} AND get({cuts_array(cuts)}, lo + s - 1) < {value}, lo + s, lo))")
+
+
 def word_count(text: str) -> Column:
     """Number of words of a text column; null counts as 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

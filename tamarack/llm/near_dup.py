@@ -7,10 +7,13 @@
    meet under some key.  At similarity 0.8 the distance is binomial with mean 12.8 of 64; 32 or more has probability
    3e-8.
 3. Pairs that meet are pruned by the sizes of their sets and the distance of 2-bit signatures (over MAX_SKETCH_DISTANCE
-   at similarity 0.8: probability 3e-6), and confirmed on full sets.
+   at similarity 0.8: probability 3e-6), later also by odd sketches, and confirmed on full sets.
 4. No group's pairs are all emitted.  First each member of a bucket is paired with the bucket's smallest id only; most
    copies get linked by that.  Components follow.  Then, bucket by bucket, members outside the largest component are
-   paired with all members of other components; pairs within a component are never needed.  Components are taken again.
+   paired with all members of other components; pairs within a component are never needed.  Here families of texts that
+   are all a little less similar than the limit would give many pairs, so the number of differing shingles is estimated
+   from odd sketches (Mitzenmacher, Pagh and Pham, 2014) and pairs over the limit by five standard deviations fall out.
+   Components are taken again.
 
 Links, components and sets stay distributed; intermediate tables go to the shared folder.  A text with fewer words than
 a shingle has its whole sequence as its one shingle; one without words (or null) has none and is linked with nothing.
@@ -33,6 +36,9 @@ from tamarack.llm.common import binary_texts, materialize, prepare
 SLOTS, WIDTH = 64, 4
 CHUNKS = SLOTS // WIDTH
 MAX_SKETCH_DISTANCE = 24
+#: Bits of an odd sketch: each shingle flips one, so two sketches differ where an odd number of differing shingles fall.
+ODD_BITS = 1024
+ODD_LONGS = ODD_BITS // 64
 
 _SEEDED = np.random.Generator(np.random.PCG64(9))
 _XOR = _SEEDED.integers(0, 2**64, SLOTS, np.uint64)
@@ -105,6 +111,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return (out * _SECOND) >> np.uint64(48)
 
 
+def odd_sketch(values: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((values >> np.uint64(20)).astype(np.int64) & (ODD_BITS - 1), minlength=ODD_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _odd_sketches(batches):
+    """(id, odd) with the sketch as long columns of a struct, from (id, sig)."""
+    kind = pa.struct([(f"o{i}", pa.int64()) for i in range(ODD_LONGS)])
+    for batch in batches:
+        data = np.frombuffer(b"".join(x[2 * SLOTS :] for x in batch.column("sig").to_pylist()), "<i8").reshape(-1, ODD_LONGS)
+        odd = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(data[:, i])) for i in range(ODD_LONGS)], fields=list(kind))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), odd], names=["id", "odd"])
+
+
 def _profile(k: int):
     def run(batches):
         for batch in batches:
@@ -115,7 +134,7 @@ def _profile(k: int):
             sums[0, sizes > 0] = [_mixed(x + _FIRST).sum(dtype=np.uint64) for x in full]
             sums[1, sizes > 0] = [_mixed(x ^ _THIRD).sum(dtype=np.uint64) for x in full]
             written = iter(signatures(full).astype("<u2") if full else ())
-            sig = [next(written).tobytes() if n else None for n in sizes.tolist()]
+            sig = [next(written).tobytes() + odd_sketch(x) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), _to_long(sums[0]), _to_long(sums[1]), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
 
     return run
@@ -127,7 +146,7 @@ def _index(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").astype(np.uint64).reshape(-1, SLOTS)
+        sig = np.frombuffer(b"".join(x[: 2 * SLOTS] for x in batch.column("sig").to_pylist()), "<u2").astype(np.uint64).reshape(-1, SLOTS)
         sketch = ((sig & np.uint64(3)).reshape(-1, 2, 32) << shifts).sum(2, dtype=np.uint64)
         keys = np.empty((len(sig), SLOTS), np.uint64)
         for chunk in range(CHUNKS):
@@ -152,6 +171,15 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return sizes & (_differing(f"{a}.s1", f"{b}.s1") + _differing(f"{a}.s2", f"{b}.s2") <= MAX_SKETCH_DISTANCE)
 
 
+def _odd_near(a: str, b: str, percent: int) -> Column:
+    """Do the odd sketches allow that few shingles differ?  d shingles fall into ODD_BITS bits; mean and variance of the odd ones."""
+    differ = " + ".join(f"bit_count({a}.odd.o{i} ^ {b}.odd.o{i})" for i in range(ODD_LONGS))
+    d = f"(({a}.n + {b}.n) * {100 - percent} / {100 + percent}D)"
+    left = f"exp(-2 * {d} / {ODD_BITS}D)"
+    variance = f"({ODD_BITS / 4}D * (1 - {left} * {left}) - {left} * {left} * {d})"
+    return F.expr(f"{differ} <= {ODD_BITS / 2}D * (1 - {left}) + 5 * sqrt(greatest({variance}, 0D)) + 2")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of distinct (a, b) whose full shingle sets are similar enough.  Only the texts of ids in pairs are shuffled."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -219,13 +247,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = materialize(_confirm(tried, by_id, words, percent), "first-links")
     found = components(links)
 
-    placed = buckets.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"), F.struct("id", "n", "s1", "s2").alias("m"))
+    placed = buckets.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"), "id", "n", "s1", "s2")
     placed = materialize(placed, "placed")
     share = placed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("main")).where("parts > 1")
-    mixed = placed.join(share.select("key", "main"), "key")
+    odd = classes.select("id", "sig").mapInArrow(_odd_sketches, "id long, odd struct<" + ", ".join(f"o{i}: long" for i in range(ODD_LONGS)) + ">")
+    mixed = placed.join(share.select("key", "main"), "key").join(odd, "id").select("key", "c", "main", F.struct("id", "n", "s1", "s2", "odd").alias("m"))
     outside = mixed.where("c <> main").select("key", F.col("c").alias("cx"), F.col("m").alias("x"))
     others = mixed.select("key", F.col("c").alias("cy"), F.col("m").alias("y"), (F.col("c") != F.col("main")).alias("also"))
-    meet = outside.join(others, (outside["key"] == others["key"]) & (F.col("cx") != F.col("cy")) & (F.col("x.id") != F.col("y.id")) & (~F.col("also") | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y", percent))
+    meet = outside.join(
+        others,
+        (outside["key"] == others["key"]) & (F.col("cx") != F.col("cy")) & (F.col("x.id") != F.col("y.id")) & (~F.col("also") | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y", percent) & _odd_near("x", "y", percent),
+    )
     more = meet.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = materialize(more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
