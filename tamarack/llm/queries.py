@@ -81,9 +81,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_store, op2_bpe, op3_fingerprints, op4_quality, op5_mixing, op6_chat, op7_secrets, op8_token_count, op9_near_dup, op10_quality_rules)
+    for f in (op1_token_store, op2_bpe, op3_fingerprints, op4_quality, op5_mixing, op6_chat, op7_secrets, op8_token_count, op9_near_dup, op10_quality_rules, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {}
