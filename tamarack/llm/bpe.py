@@ -233,15 +233,19 @@ class BpeModel:
         out: list = []
         if self.added_pattern is not None and self.added_pattern.search(text):
             for k, part in enumerate(self.added_pattern.split(text)):
-                out.extend([self.added[part]] if k % 2 else self.cut(self.normalize(part)))
+                out.extend([self.added[part]] if k % 2 else self._cut(part))
             return out
-        return self.cut(self.normalize(text))
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[str]:
+        if self.cut is spaced_pieces:
+            return self.cut(self.normalize(text))
+        first, *rest = self.cut(self.normalize(text))
+        return [first, *[" " + x for x in rest]]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         words = [self.pattern.findall(x) for x in pieces]
-        self.words.add(words)
-        found = self.words.found
-        return [[y for w in x for y in found(w)] for x in words]
+        return [[z for y in x for z in y] for x in self.words.values_of(words)]
 
     def encode_batch(self, items: list[str]) -> list[list[int]]:
         cut = [self.pieces(x) for x in items]
@@ -276,18 +280,17 @@ def _digester(path: str):
     def entry(ids: list[int]):
         return len(ids), " ".join(map(str, ids)), model.decode(ids)
 
-    kept = PieceCache(lambda pieces: [entry(x) if x else None for x in model.encode_pieces(pieces)])
+    kept = PieceCache(lambda pieces: [entry(x) if x else () for x in model.encode_pieces(pieces)])
 
     def digest(items: list[str]):
         cut = [model.pieces(x) for x in items]
         has_added = [model.added_pattern is not None and model.added_pattern.search(x) is not None for x in items]
-        kept.add([[y for y in x if not isinstance(y, int)] if added else x for x, added in zip(cut, has_added, strict=True)])
-        get = kept.values
-        for x, added in zip(cut, has_added, strict=True):
+        found = kept.values_of([[y for y in x if not isinstance(y, int)] if added else x for x, added in zip(cut, has_added, strict=True)])
+        for x, values, added in zip(cut, found, has_added, strict=True):
             if added:
-                entries = [e for y in x if (e := entry([y]) if isinstance(y, int) else get[y])]
-            else:
-                entries = [e for y in x if (e := get[y])]
+                rest = iter(values)
+                values = [entry([y]) if isinstance(y, int) else next(rest) for y in x]
+            entries = [e for e in values if e]
             yield sum([e[0] for e in entries]), " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries])
 
     return digest

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import binary_texts, joined, prepare, shuffle_partitions
+from tamarack.llm.common import binary_texts, cuts_array, joined, prepare, range_cuts, range_of
 
 MIN, NORMAL, MAX = 16, 48, 256
 #: Bits 12 to 15 of the gear hash for the common mask (1 in 16), bits 9 to 15 for the rare one (1 in 128).
@@ -125,18 +125,10 @@ def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     so the first document of each range is known before the one shuffle of the texts.  After the smallest id comes the
     largest.  Null ids count as the smallest; of equal ids the smaller text is first.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    at = [k / n for k in range(1, n)] + [1.0]
-    found = rows.select(F.percentile_approx("key", at, 10 * n).alias("c"), F.max("key").alias("m")).first()
-    cuts = sorted({*(found.c or ()), *([] if found.m is None else [found.m])})
-    steps = [2**k for k in reversed(range(max(1, len(cuts).bit_length())))]
-    typed = f"array({', '.join(f'{c}L' if c > -(2**63) else 'CAST(-9223372036854775808 AS BIGINT)' for c in cuts)})" if cuts else "CAST(array() AS array<bigint>)"
-    # binary search for the number of cuts below the key
-    below = F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (lo, s) -> if(lo + s <= {len(cuts)} AND get({typed}, lo + s - 1) < key, lo + s, lo))")
-    rows = rows.withColumn("range", below)
-    first = F.expr(f"coalesce(get({typed}, range) = key, false)")
+    cuts = range_cuts(rows, "key")
+    rows = rows.withColumn("range", range_of("key", cuts))
+    first = F.expr(f"coalesce(get({cuts_array(cuts)}, range) = key, false)")
     after = F.when(F.col("range") == len(cuts) - 1, F.lit(0)).otherwise(F.col("range") + 1)
     copies = F.when(first, F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ahead")), F.struct(after.alias("range"), F.lit(1).alias("ahead")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ahead"))))
     dealt = rows.select(F.explode(copies).alias("at"), "key", "doc_id", "text").select("at.range", "at.ahead", "key", "doc_id", "text")

@@ -5,22 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: White space beside a space: there a byte-level pre-tokenizer may join them, so no cut is made in such a text.
+import numpy as np
+
+#: White space beside a space: there a byte-level pre-tokenizer may join them, so no cut is made there.
 _BESIDE = re.compile(r"\s | \s|^ | $")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_level_pieces(text: str) -> list[str]:
-    """Cut before each single space that stands between two characters other than white space.
+    """Cut at each single space between two other characters, and drop it.
 
-    GPT-2's pattern starts a new word at such a space, whatever surrounds it, so the ids of the pieces joined are the
-    ids of the text.  A text with other runs of white space around a space is cut by its lines of such places instead.
+    GPT-2's pattern starts a new word at such a space, whatever surrounds it, so the ids of the first piece, and those of
+    each further one with a space before it, joined are the ids of the text.
     """
-    if " " not in text:
-        return [text] if text else []
-    if _BESIDE.search(text):
-        return [x for x in re.split(r"(?<=\S)(?= \S)", text) if x]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -28,30 +26,68 @@ def spaced_pieces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def _apart(tokenizer, pieces: list[str], mark: str, number: int) -> list[np.ndarray]:
+    """The ids of pieces, encoded as one text with a mark between them that always gives the one id."""
+    if not pieces:
+        return []
+    (coded,) = tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)
+    ids = np.asarray(coded.ids, np.uint32)
+    ends = [*np.flatnonzero(ids == number).tolist(), len(ids)]
+    return [ids[a:b] for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
+
+
+def encode_pieces(tokenizer, pieces: list[str], line: int | None = None) -> list[np.ndarray]:
+    """The library's ids of each piece; many are encoded as one text, kept apart by a special token.
+
+    line: the id of a line end, for a byte-level tokenizer and pieces that begin with a space and end with something
+    else.  Those without line ends are then kept apart by line ends, which is faster.
+    """
+    added = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items() if x.special}
+    out: list = [None] * len(pieces)
+    alone, marked, plain = [], [], []
+    for i, x in enumerate(pieces):
+        (alone if not added or any(y in x for y in added) else plain if line is not None and "\n" not in x else marked).append(i)
+    for i, x in zip(alone, tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False), strict=True):
+        out[i] = np.asarray(x.ids, np.uint32)
+    for group, mark, number in ((marked, *next(iter(added.items()), ("", -1))), (plain, "\n", line)):
+        for i, x in zip(group, _apart(tokenizer, [pieces[i] for i in group], mark, number), strict=True):
+            out[i] = x
+    return out
+
+
 class PieceCache:
-    """Values of pieces, worked out in batches; emptied when it has grown to its limit, so memory is bounded.
+    """Values of pieces, worked out in batches, of which the recent ones are kept, so memory is bounded.
 
-    ``limit`` entries at most are kept between batches; within a batch the distinct pieces of that batch are added.
+    Two generations of about ``limit`` entries are kept: what is found in the older one moves to the newer one, and
+    when that is full it becomes the older one.
     Pieces of over ``longest`` characters are not kept beyond their batch; ``at_once`` are worked out at a time.
+    Values are never None.
     """
 
-    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 200_000, longest: int = 64, at_once: int = 8192):
-        self.work_out, self.limit, self.longest, self.at_once, self.values = work_out, limit, longest, at_once, {}
-        self.passing: set[str] = set()
+    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 350_000, longest: int = 64, at_once: int = 8192):
+        self.work_out, self.limit, self.longest, self.at_once = work_out, limit, longest, at_once
+        self.values: dict = {}
+        self.older: dict = {}
 
-    def add(self, cut: list[list[str]]) -> None:
-        """Work out all pieces that are not known yet."""
-        for x in self.passing:
-            self.values.pop(x, None)
-        self.passing = set()
+    def values_of(self, cut: list[list[str]]) -> list[list]:
+        """The values of each list's pieces."""
         if len(self.values) > self.limit:
-            self.values.clear()
+            self.values, self.older = {}, self.values
         known = self.values
-        new = list({y for x in cut for y in x if y not in known})
+        get = known.get
+        out = [list(map(get, x)) for x in cut]
+        holes = [[i for i, v in enumerate(x) if v is None] for x in out]
+        wanted = {x[i] for x, at in zip(cut, holes, strict=True) for i in at}
+        old = self.older
+        known.update({x: old[x] for x in wanted if x in old})
+        new = [x for x in wanted if x not in old]
         for i in range(0, len(new), self.at_once):
             part = new[i : i + self.at_once]
             known.update(zip(part, self.work_out(part), strict=True))
-        self.passing = {x for x in new if len(x) > self.longest}
-
-    def found(self, piece: str):
-        return self.values[piece]
+        for x, values, at in zip(cut, out, holes, strict=True):
+            for i in at:
+                values[i] = known[x[i]]
+        for x in new:
+            if len(x) > self.longest:
+                del known[x]
+        return out

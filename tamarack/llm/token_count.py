@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import by_bytes, prepare, texts
-from tamarack.llm.pieces import PieceCache, byte_level_pieces, spaced_pieces
-from tamarack.llm.token_store import load_tokenizer
+from tamarack.llm.pieces import PieceCache, byte_level_pieces, encode_pieces, spaced_pieces
+from tamarack.llm.token_store import byte_level_line, load_tokenizer
 
 #: Bytes of text given to the library at once.
 ENCODE_BYTES = 1 << 20
@@ -34,16 +34,20 @@ def _counter(path: str):
         return lambda items: [len(y) for part in by_bytes(items, ENCODE_BYTES) for y in model.encode(part, num_threads=1)]
     tokenizer = load_tokenizer(path)
 
+    byte_level = _byte_level(tokenizer)
+    before, line = (" ", byte_level_line(tokenizer)) if byte_level else ("", None)
+
     def lengths(pieces: list[str]) -> list[int]:
-        return [len(y) for part in by_bytes(pieces, ENCODE_BYTES) for y in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return [len(y) for part in by_bytes(pieces, ENCODE_BYTES) for y in encode_pieces(tokenizer, [before + x for x in part], line)]
 
-    cut = byte_level_pieces if _byte_level(tokenizer) else spaced_pieces if _drops_white_space(tokenizer) else lambda x: [x]
-    cache = PieceCache(lengths)
+    if not byte_level and not _drops_white_space(tokenizer):
+        return lengths
+    cut, cache = byte_level_pieces if byte_level else spaced_pieces, PieceCache(lengths)
 
     def count(items: list[str]) -> list[int]:
         pieces = [cut(x) for x in items]
-        cache.add(pieces)
-        return [sum(map(cache.found, x)) for x in pieces]
+        first = [len(x) for x in encode_pieces(tokenizer, [x[0] for x in pieces])]
+        return [n + sum(x) for n, x in zip(first, cache.values_of([x[1:] for x in pieces]), strict=True)]
 
     return count
 

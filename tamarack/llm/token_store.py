@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import lists_of, prepare, texts
-from tamarack.llm.pieces import PieceCache, byte_level_pieces
+from tamarack.llm.common import lists_of, prepare, range_cuts, range_of, texts
+from tamarack.llm.pieces import PieceCache, byte_level_pieces, encode_pieces
 
 STORE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -42,26 +42,29 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def byte_level_line(tokenizer) -> int:
+    (line,) = tokenizer.encode("\n", add_special_tokens=False).ids
+    return line
+
+
 @functools.lru_cache(maxsize=4)
 def _piece_ids(path: str) -> PieceCache:
+    """Ids of pieces that follow a space, as bytes."""
     tokenizer = load_tokenizer(path)
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return PieceCache(encode)
+    line = byte_level_line(tokenizer)
+    return PieceCache(lambda pieces: [x.tobytes() for x in encode_pieces(tokenizer, [" " + x for x in pieces], line)])
 
 
 def encode_bytes(items: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     A text is cut at single spaces between two other characters, where byte-level pre-tokenization always cuts; the
-    library encodes each distinct piece once per worker.
+    library encodes each distinct piece of a batch once, and frequent ones once per worker.
     """
-    cache = _piece_ids(path)
     cut = [byte_level_pieces(x) for x in items]
-    cache.add(cut)
-    return [b"".join(map(cache.found, x)) for x in cut]
+    first = encode_pieces(load_tokenizer(path), [x[0] for x in cut])
+    rest = _piece_ids(path).values_of([x[1:] for x in cut])
+    return [a.tobytes() + b"".join(b) for a, b in zip(first, rest, strict=True)]
 
 
 def encode_documents(ordered: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -86,7 +89,10 @@ def encode_documents(ordered: DataFrame, path: str, end_id: int) -> DataFrame:
 def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, bloom_fpp: float = 0.01, compress: str = "zstd") -> None:
     """Encode docs and write them to ORC files in ascending order of their ids, each followed by end_id."""
     prepare(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    cuts = range_cuts(rows, "doc_id")
+    dealt = rows.repartitionById(max(1, len(cuts)), range_of("doc_id", cuts).cast("int"))
+    ordered = dealt.sortWithinPartitions("doc_id", "text")
     writer = encode_documents(ordered, tokenizer_path, end_id).write
     for key, value in {
         "orc.compress": compress.upper(),
