@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.runtime import ship_package
+from tamarack.runtime import materialize, ship_package, shared_dir
+
+__all__ = ["materialize", "prepare", "shared_dir"]
 
 #: Arrow batches handed to Python workers hold at most this many bytes, so that long texts stay in bounded memory.
 ARROW_BATCH_BYTES = 4 << 20
@@ -32,35 +31,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder that the driver and all executors see.
-
-    The cluster names the parent in ``spark.checkpoint.dir``.  Only where that is unset, as in local tests, a local
-    temporary folder is made and recorded in the session.
-    """
-    parent = spark.conf.get("spark.checkpoint.dir", None)
-    if not parent:
-        parent = spark.conf.get("spark.tamarack.shared.dir", None)
-        if not parent:
-            parent = tempfile.mkdtemp(prefix="tamarack-")
-            spark.conf.set("spark.tamarack.shared.dir", parent)
-    return f"{parent.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage in a way that survives lost executors."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder that shared_dir() named, in whatever store holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def remove_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the ids in gone, and with one row of each id that is left; rows of null ids stay.
 
