@@ -6,13 +6,12 @@
    chunk, so each chunk is indexed WIDTH times, once for every slot that may be wrong: all pairs under that distance
    meet under some key.  At similarity 0.8 the distance is binomial with mean 12.8 of 64; 32 or more has probability
    3e-8.
-3. Pairs that meet are pruned by the sizes of their sets and the distance of 2-bit signatures (over MAX_SKETCH_DISTANCE
-   at similarity 0.8: probability 3e-6), later also by odd sketches, and confirmed on full sets.
-4. No group's pairs are all emitted.  First each member of a bucket is paired with the bucket's smallest id only; most
-   copies get linked by that.  Components follow.  Then, bucket by bucket, members outside the largest component are
-   paired with all members of other components; pairs within a component are never needed.  Here families of texts that
-   are all a little less similar than the limit would give many pairs, so the number of differing shingles is estimated
-   from odd sketches (Mitzenmacher, Pagh and Pham, 2014) and pairs over the limit by five standard deviations fall out.
+3. Pairs that meet are pruned by the sizes of their sets, the distance of 2-bit signatures (over MAX_SKETCH_DISTANCE at
+   similarity 0.8: probability 3e-6) and odd sketches (after Mitzenmacher, Pagh and Pham, 2014; used as a bound, which
+   drops no link), and confirmed on full sets.
+4. No group's pairs are all emitted.  First each id is paired with one other, the smallest of its buckets' smallest ids
+   that the prunes allow; most copies get linked by that.  Components follow.  Then, bucket by bucket, members outside
+   the largest component are paired with all members of other components; pairs within a component are never needed.
    Components are taken again.
 
 Links, components and sets stay distributed; intermediate tables go to the shared folder.  A text with fewer words than
@@ -171,13 +170,10 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return sizes & (_differing(f"{a}.s1", f"{b}.s1") + _differing(f"{a}.s2", f"{b}.s2") <= MAX_SKETCH_DISTANCE)
 
 
-def _odd_near(a: str, b: str, percent: int) -> Column:
-    """Do the odd sketches allow that few shingles differ?  d shingles fall into ODD_BITS bits; mean and variance of the odd ones."""
-    differ = " + ".join(f"bit_count({a}.odd.o{i} ^ {b}.odd.o{i})" for i in range(ODD_LONGS))
-    d = f"(({a}.n + {b}.n) * {100 - percent} / {100 + percent}D)"
-    left = f"exp(-2 * {d} / {ODD_BITS}D)"
-    variance = f"({ODD_BITS / 4}D * (1 - {left} * {left}) - {left} * {left} * {d})"
-    return F.expr(f"{differ} <= {ODD_BITS / 2}D * (1 - {left}) + 5 * sqrt(greatest({variance}, 0D)) + 2")
+def _odd_allows(a: str, b: str, percent: int) -> Column:
+    """Can two sets be similar enough?  Each differing shingle flips one bit, so at least as many differ as there are unlike bits: this drops no link."""
+    unlike = " + ".join(f"bit_count({a}.odd.o{i} ^ {b}.odd.o{i})" for i in range(ODD_LONGS))
+    return F.expr(f"({unlike}) * {100 + percent} <= ({a}.n + {b}.n) * {100 - percent}")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -242,21 +238,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     met = keys.groupBy("key").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
     buckets = materialize(keys.join(met.hint("shuffle_hash"), "key"), "buckets")
 
-    tried = buckets.select(F.struct("id", "n", "s1", "s2").alias("x"), F.col("least").alias("y")).where("x.id <> y.id").where(_may_link("x", "y", percent))
-    tried = materialize(tried.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "first-pairs")
+    odd = classes.select("id", "sig").mapInArrow(_odd_sketches, "id long, odd struct<" + ", ".join(f"o{i}: long" for i in range(ODD_LONGS)) + ">")
+    star = buckets.select(F.struct("id", "n", "s1", "s2").alias("x"), F.col("least").alias("y")).where("x.id <> y.id").where(_may_link("x", "y", percent))
+    star = star.select(F.col("y.id").alias("a"), F.col("y.n").alias("na"), F.col("x.id").alias("b"), F.col("x.n").alias("nb")).distinct()
+    star = star.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
+    star = star.select(F.struct(F.col("a").alias("id"), F.col("na").alias("n"), F.col("oa").alias("odd")).alias("y"), F.struct(F.col("b").alias("id"), F.col("nb").alias("n"), F.col("ob").alias("odd")).alias("x"))
+    tried = star.where(_odd_allows("x", "y", percent)).groupBy(F.col("x.id").alias("b")).agg(F.min("y.id").alias("a")).select("a", "b")
+    tried = materialize(tried, "first-pairs")
     links = materialize(_confirm(tried, by_id, words, percent), "first-links")
     found = components(links)
 
     placed = buckets.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"), "id", "n", "s1", "s2")
     placed = materialize(placed, "placed")
     share = placed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("main")).where("parts > 1")
-    odd = classes.select("id", "sig").mapInArrow(_odd_sketches, "id long, odd struct<" + ", ".join(f"o{i}: long" for i in range(ODD_LONGS)) + ">")
     mixed = placed.join(share.select("key", "main"), "key").join(odd, "id").select("key", "c", "main", F.struct("id", "n", "s1", "s2", "odd").alias("m"))
     outside = mixed.where("c <> main").select("key", F.col("c").alias("cx"), F.col("m").alias("x"))
     others = mixed.select("key", F.col("c").alias("cy"), F.col("m").alias("y"), (F.col("c") != F.col("main")).alias("also"))
     meet = outside.join(
         others,
-        (outside["key"] == others["key"]) & (F.col("cx") != F.col("cy")) & (F.col("x.id") != F.col("y.id")) & (~F.col("also") | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y", percent) & _odd_near("x", "y", percent),
+        (outside["key"] == others["key"]) & (F.col("cx") != F.col("cy")) & (F.col("x.id") != F.col("y.id")) & (~F.col("also") | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y", percent) & _odd_allows("x", "y", percent),
     )
     more = meet.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = materialize(more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
