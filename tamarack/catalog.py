@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tamarack import adapters as A
 from tamarack import lexicon, schemas
@@ -44,7 +43,7 @@ def r(expr: str, name: str, digits: int = 4) -> str:
 
 
 def wgm(parts: dict[str, float]) -> str:
-    top = " + ".join(f"coalesce({w}::DOUBLE * ln(greatest({c}, 0.01::DOUBLE)), 0)" for c, w in parts.items())
+    top = " + ".join(f"(CASE WHEN {c} IS NOT NULL THEN {w}::DOUBLE * ln(greatest({c}, 0.01::DOUBLE)) ELSE 0 END)" for c, w in parts.items())
     low = " + ".join(f"(CASE WHEN {c} IS NOT NULL THEN {w}::DOUBLE ELSE 0 END)" for c, w in parts.items())
     return f"(CASE WHEN {low} > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, exp(({top}) / ({low})))) ELSE 0 END)"
 
@@ -66,7 +65,7 @@ def rare(x: str) -> str:
 
 @query("SELECT event_id::DOUBLE AS ts, NULL::VARCHAR AS uid, event_type AS src_ip, TRY_CAST(event_type AS INT) AS src_port, TRY_CAST(user_id AS INT) AS dst_port FROM events")
 def conform_events(spark, sf_dir):
-    schema = StructType.fromDDL("ts DOUBLE, uid STRING, src_ip STRING, src_port INT, dst_port INT")
+    schema = schemas.struct("ts DOUBLE, uid STRING, src_ip STRING, src_port INT, dst_port INT")
     raw = A.read(spark, sf_dir, "events").select(F.col("event_id").alias("ts"), F.col("event_type").alias("src_ip"), F.col("event_type").alias("src_port"), F.col("user_id").alias("dst_port"), F.col("props").alias("extra"))
     return schemas.conform(raw, schema)
 

@@ -27,7 +27,8 @@ def rarity(hosts: Column) -> Column:
 
 def weighted_mean(parts: dict[str, tuple[Column, float]]) -> Column:
     """Weighted geometric mean over the components that aren't null, each at least 0.01; 0 if there is none."""
-    logs = reduce(lambda a, b: a + b, [F.coalesce(w * F.log(F.greatest(c, F.lit(0.01))), F.lit(0.0)) for c, w in parts.values()])
+    # greatest() skips nulls, so a null component is set apart first
+    logs = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), w * F.log(F.greatest(c, F.lit(0.01)))).otherwise(F.lit(0.0)) for c, w in parts.values()])
     weights = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for c, w in parts.values()])
     return F.when(weights > 0, clip01(F.exp(logs / weights))).otherwise(F.lit(0.0))
 

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-CONNECTIONS = StructType.fromDDL(
+_TYPES = {"DOUBLE": DoubleType(), "STRING": StringType(), "INT": IntegerType(), "BIGINT": LongType(), "BOOLEAN": BooleanType()}
+
+
+def struct(ddl: str) -> StructType:
+    """A flat schema from DDL, without a session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
+
+CONNECTIONS = struct(
     "ts DOUBLE, uid STRING, src_ip STRING, src_port INT, dst_ip STRING, dst_port INT, proto STRING, service STRING, duration DOUBLE, "
     "orig_bytes BIGINT, resp_bytes BIGINT, orig_pkts BIGINT, resp_pkts BIGINT, conn_state STRING, source_file STRING, source_line BIGINT"
 )
-DNS = StructType.fromDDL("ts DOUBLE, uid STRING, src_ip STRING, dst_ip STRING, query STRING, qtype STRING, rcode STRING, answers STRING, source_file STRING, source_line BIGINT")
-SSL = StructType.fromDDL(
+DNS = struct("ts DOUBLE, uid STRING, src_ip STRING, dst_ip STRING, query STRING, qtype STRING, rcode STRING, answers STRING, source_file STRING, source_line BIGINT")
+SSL = struct(
     "ts DOUBLE, uid STRING, src_ip STRING, src_port INT, dst_ip STRING, dst_port INT, version STRING, cipher STRING, server_name STRING, ja3 STRING, ja3s STRING, "
     "established BOOLEAN, source_file STRING, source_line BIGINT"
 )
-PROCESSES = StructType.fromDDL(
+PROCESSES = struct(
     "ts DOUBLE, host STRING, user STRING, image STRING, command_line STRING, current_directory STRING, integrity_level STRING, process_guid STRING, process_id BIGINT, "
     "parent_image STRING, parent_command_line STRING, parent_guid STRING, parent_process_id BIGINT, sha256 STRING, source_file STRING, source_line BIGINT"
 )
-ALERTS = StructType.fromDDL(
+ALERTS = struct(
     "ts DOUBLE, src_ip STRING, dst_ip STRING, dst_port INT, proto STRING, signature STRING, signature_id BIGINT, category STRING, severity INT, source_file STRING, source_line BIGINT"
 )
 
