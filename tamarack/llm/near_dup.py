@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import binary_texts, materialize, prepare
+from tamarack.llm.common import binary_texts, materialize, prepare, shuffle_partitions
 
 SLOTS, WIDTH = 64, 4
 CHUNKS = SLOTS // WIDTH
@@ -114,13 +114,28 @@ def odd_sketch(values: np.ndarray) -> bytes:
     return np.packbits((np.bincount((values >> np.uint64(20)).astype(np.int64) & (ODD_BITS - 1), minlength=ODD_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _odd_sketches(batches):
-    """(id, odd) with the sketch as long columns of a struct, from (id, sig)."""
+def _two_bits(sig: np.ndarray) -> np.ndarray:
+    """(set, 2) longs of the lowest two bits of each slot."""
+    return ((sig & np.uint64(3)).reshape(-1, 2, 32) << (2 * np.arange(32)).astype(np.uint64)).sum(2, dtype=np.uint64)
+
+
+def _slots(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(x[: 2 * SLOTS] for x in batch.column("sig").to_pylist()), "<u2").astype(np.uint64).reshape(-1, SLOTS)
+
+
+_TRAITS = "id long, n long, s1 long, s2 long, odd struct<" + ", ".join(f"o{i}: long" for i in range(ODD_LONGS)) + ">"
+
+
+def _traits(batches):
+    """(id, n, s1, s2, odd): size, 2-bit signature and odd sketch of each class."""
     kind = pa.struct([(f"o{i}", pa.int64()) for i in range(ODD_LONGS)])
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        sketch = _two_bits(_slots(batch))
         data = np.frombuffer(b"".join(x[2 * SLOTS :] for x in batch.column("sig").to_pylist()), "<i8").reshape(-1, ODD_LONGS)
         odd = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(data[:, i])) for i in range(ODD_LONGS)], fields=list(kind))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), odd], names=["id", "odd"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), _to_long(sketch[:, 0]), _to_long(sketch[:, 1]), odd], names=["id", "n", "s1", "s2", "odd"])
 
 
 def _profile(k: int):
@@ -140,24 +155,18 @@ def _profile(k: int):
 
 
 def _index(batches):
-    """(key, id, n, s1, s2): WIDTH keys a chunk, each leaving out one slot, with the size and the 2-bit signature."""
-    shifts = (2 * np.arange(32)).astype(np.uint64)
+    """(key, id): WIDTH keys a chunk, each leaving out one slot."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(x[: 2 * SLOTS] for x in batch.column("sig").to_pylist()), "<u2").astype(np.uint64).reshape(-1, SLOTS)
-        sketch = ((sig & np.uint64(3)).reshape(-1, 2, 32) << shifts).sum(2, dtype=np.uint64)
+        sig = _slots(batch)
         keys = np.empty((len(sig), SLOTS), np.uint64)
         for chunk in range(CHUNKS):
             part = sig[:, chunk * WIDTH : (chunk + 1) * WIDTH] + np.uint64(1)
             for wrong in range(WIDTH):
                 i = chunk * WIDTH + wrong
                 keys[:, i] = _mixed(np.uint64(i + 1) + sum(part[:, j] * _KEY[i, j] for j in range(WIDTH) if j != wrong))
-        again = lambda x: np.repeat(x, SLOTS)
-        yield pa.RecordBatch.from_arrays(
-            [_to_long(keys.reshape(-1)), pa.array(again(batch.column("id").to_numpy())), pa.array(again(batch.column("n").to_numpy())), _to_long(again(sketch[:, 0])), _to_long(again(sketch[:, 1]))],
-            names=["key", "id", "n", "s1", "s2"],
-        )
+        yield pa.RecordBatch.from_arrays([_to_long(keys.reshape(-1)), pa.array(np.repeat(batch.column("id").to_numpy(), SLOTS))], names=["key", "id"])
 
 
 def _differing(a: str, b: str) -> Column:
@@ -232,26 +241,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     by_id = rows.withColumnRenamed("doc_id", "id")
     profiles = materialize(rows.mapInArrow(_profile(words), "doc_id long, n long, h1 long, h2 long, sig binary"), "profiles")
     linkable = profiles.where(F.col("n").cast("boolean") & F.col("doc_id").isNotNull())
-    classes = materialize(linkable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.count("*").alias("members")), "classes")
+    classes = linkable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.count("*").alias("members"))
+    # many small tasks, as each class gives SLOTS rows of the index
+    classes = materialize(classes.repartition(shuffle_partitions(spark), "id"), "classes")
+    traits = classes.select("id", "n", "sig").mapInArrow(_traits, _TRAITS)
 
-    keys = classes.select("id", "n", "sig").mapInArrow(_index, "key long, id long, n long, s1 long, s2 long")
-    met = keys.groupBy("key").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
+    keys = classes.select("id", "sig").mapInArrow(_index, "key long, id long")
+    met = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
     buckets = materialize(keys.join(met.hint("shuffle_hash"), "key"), "buckets")
 
-    odd = classes.select("id", "sig").mapInArrow(_odd_sketches, "id long, odd struct<" + ", ".join(f"o{i}: long" for i in range(ODD_LONGS)) + ">")
-    star = buckets.select(F.struct("id", "n", "s1", "s2").alias("x"), F.col("least").alias("y")).where("x.id <> y.id").where(_may_link("x", "y", percent))
-    star = star.select(F.col("y.id").alias("a"), F.col("y.n").alias("na"), F.col("x.id").alias("b"), F.col("x.n").alias("nb")).distinct()
-    star = star.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
-    star = star.select(F.struct(F.col("a").alias("id"), F.col("na").alias("n"), F.col("oa").alias("odd")).alias("y"), F.struct(F.col("b").alias("id"), F.col("nb").alias("n"), F.col("ob").alias("odd")).alias("x"))
-    tried = star.where(_odd_allows("x", "y", percent)).groupBy(F.col("x.id").alias("b")).agg(F.min("y.id").alias("a")).select("a", "b")
+    star = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(traits.select(F.col("id").alias("a"), F.struct("id", "n", "s1", "s2", "odd").alias("y")), "a").join(traits.select(F.col("id").alias("b"), F.struct("id", "n", "s1", "s2", "odd").alias("x")), "b")
+    tried = star.where(_may_link("x", "y", percent) & _odd_allows("x", "y", percent)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     tried = materialize(tried, "first-pairs")
     links = materialize(_confirm(tried, by_id, words, percent), "first-links")
     found = components(links)
 
-    placed = buckets.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"), "id", "n", "s1", "s2")
-    placed = materialize(placed, "placed")
-    share = placed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("main")).where("parts > 1")
-    mixed = placed.join(share.select("key", "main"), "key").join(odd, "id").select("key", "c", "main", F.struct("id", "n", "s1", "s2", "odd").alias("m"))
+    placed = materialize(buckets.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"), "id"), "placed")
+    share = placed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "c")).alias("largest")).where("parts > 1").select("key", F.col("largest.c").alias("main"))
+    mixed = placed.join(share, "key").join(traits, "id").select("key", "c", "main", F.struct("id", "n", "s1", "s2", "odd").alias("m"))
     outside = mixed.where("c <> main").select("key", F.col("c").alias("cx"), F.col("m").alias("x"))
     others = mixed.select("key", F.col("c").alias("cy"), F.col("m").alias("y"), (F.col("c") != F.col("main")).alias("also"))
     meet = outside.join(
