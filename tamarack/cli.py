@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tamarack import evaluate, hunt, lexicon, schemas, synth
 from tamarack.operators import host
 from tamarack.plans import correlate
-from tamarack.plans.context import Context, all_findings
+from tamarack.plans.context import DETECTORS, Context, all_findings
 from tamarack.plans.findings import VERSION
 from tamarack.receipt import metered
 from tamarack.runtime import materialize
@@ -30,9 +30,9 @@ def _counts(ctx: Context) -> dict[str, int]:
     return {n: getattr(ctx, n).count() for n in schemas.BY_NAME}
 
 
-def _queue(ctx: Context, top: int) -> tuple[list[dict], int]:
+def _queue(ctx: Context, top: int, detectors: str | None = None) -> tuple[list[dict], int]:
     """The first incidents of the queue as dictionaries, and the number of findings; only these rows reach the driver."""
-    found = materialize(all_findings(ctx), "findings")
+    found = materialize(all_findings(ctx, tuple(detectors.split(",")) if detectors else DETECTORS), "findings")
     rows = correlate.queue(found).orderBy("place").limit(top).collect()
     return [r.asDict(recursive=True) for r in rows], found.count()
 
@@ -65,7 +65,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return code
     with metered(spark) as receipt:
         receipt.records = _counts(ctx)
-        incidents, receipt.findings = _queue(ctx, args.top)
+        incidents, receipt.findings = _queue(ctx, args.top, args.detectors)
         receipt.incidents = len(incidents)
     if args.json:
         print(json.dumps({"incidents": incidents, "receipt": receipt.as_dict()}, default=str))
@@ -80,7 +80,7 @@ def hunts(spark: SparkSession, args: argparse.Namespace) -> int:
     if ctx is None:
         return code
     wanted = tuple(hunt.Dialect(d) for d in args.dialect) if args.dialect else tuple(hunt.Dialect)
-    queries = [q for i in _queue(ctx, args.top)[0] for q in hunt.queries_for_incident(i, wanted)]
+    queries = [q for i in _queue(ctx, args.top, args.detectors)[0] for q in hunt.queries_for_incident(i, wanted)]
     for n, q in enumerate(queries):
         if args.out:
             target = Path(args.out)
@@ -154,6 +154,7 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(func=f)
         if name in ("run", "hunt"):
             p.add_argument("path")
+            p.add_argument("--detectors", help=f"some of {','.join(DETECTORS)}; all by default")
         if name in ("run", "hunt", "demo"):
             p.add_argument("--top", type=int, default=20)
         if name == "run":

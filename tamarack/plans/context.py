@@ -15,6 +15,7 @@ from tamarack.operators.common import evenly_spaced, first_records, key_of, null
 from tamarack.plans.findings import artifacts, basis, entity, evidence, findings, severity
 from tamarack.side import indicators as ioc
 from tamarack.side import inventory as inv
+from tamarack.runtime import materialize
 
 DETECTORS = ("beaconing", "fanout", "egress", "dnstunnel", "alerts", "tlsdga", "host", "intel")
 
@@ -44,6 +45,7 @@ class Context:
     inventory: DataFrame
     words: DataFrame
     configs: Configs = field(default_factory=Configs)
+    known_window: DataFrame | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, **frames: DataFrame) -> Context:
@@ -55,6 +57,9 @@ class Context:
         return cls(**made)
 
     def window(self) -> DataFrame:
+        """One row: when the capture begins and ends."""
+        if self.known_window is not None:
+            return self.known_window
         return inv.capture_window(self.connections, self.dns, self.ssl, self.processes, self.alerts)
 
     def with_configs(self, **configs) -> Context:
@@ -82,7 +87,7 @@ def _cited(rows: DataFrame, records: DataFrame, keys: list[str], k: int) -> Data
 
 def beacon_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.beaconing
-    rows = beaconing.detect(ctx.connections, cfg)
+    rows = materialize(beaconing.detect(ctx.connections, cfg), "detected")
     records = null_safe_semi(ctx.connections.dropna(subset=["ts", "src_ip", "dst_ip"]), rows, beaconing.KEYS).withColumn("__p", key_of(*beaconing.KEYS))
     rows = _cited(_subject(ctx, rows), evenly_spaced(records, "__p", cfg.artifact_samples), beaconing.KEYS, cfg.artifact_samples)
     timing = evidence(
@@ -100,7 +105,7 @@ def beacon_findings(ctx: Context) -> DataFrame:
 
 def fanout_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.fanout
-    rows = _cited(_subject(ctx, fanout.detect(ctx.connections, cfg)), ctx.connections, ["src_ip", "dst_port"], cfg.artifact_samples)
+    rows = _cited(_subject(ctx, materialize(fanout.detect(ctx.connections, cfg), "detected")), ctx.connections, ["src_ip", "dst_port"], cfg.artifact_samples)
     port = F.col("dst_port").cast("string")
     found = evidence(
         "destination_fanout", F.concat(F.col("destinations").cast("string"), F.lit(" destinations on port "), port),
@@ -111,7 +116,7 @@ def fanout_findings(ctx: Context) -> DataFrame:
 
 def egress_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.egress
-    rows = egress.detect(ctx.connections, cfg)
+    rows = materialize(egress.detect(ctx.connections, cfg), "detected")
     measured = ctx.connections.where("orig_bytes is not null")
     largest = measured.join(rows.select("src_ip", "dst_ip"), ["src_ip", "dst_ip"], "left_semi")
     sampled = first_records(largest, ["src_ip", "dst_ip"], cfg.artifact_samples, order=[F.desc_nulls_last("orig_bytes"), "ts", "source_file", "source_line"])
@@ -129,7 +134,7 @@ def egress_findings(ctx: Context) -> DataFrame:
 
 def tunnel_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.dnstunnel
-    rows = dnstunnel.detect(ctx.dns, cfg)
+    rows = materialize(dnstunnel.detect(ctx.dns, cfg), "detected")
     records = ctx.dns.dropna(subset=["ts", "src_ip", "query"]).withColumn("zone", dnstunnel.registered_domain(F.col("query")))
     rows = _cited(_subject(ctx, rows), records, ["src_ip", "zone"], cfg.artifact_samples)
     found = evidence(
@@ -145,7 +150,7 @@ def tunnel_findings(ctx: Context) -> DataFrame:
 
 def alert_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.alerts
-    rows = _cited(_subject(ctx, alerts.detect(ctx.alerts, cfg)), ctx.alerts, ["src_ip", "signature"], cfg.artifact_samples)
+    rows = _cited(_subject(ctx, materialize(alerts.detect(ctx.alerts, cfg), "detected")), ctx.alerts, ["src_ip", "signature"], cfg.artifact_samples)
     found = evidence(
         "signature_cluster", F.concat(F.col("alerts").cast("string"), F.lit(" alerts of "), F.col("signature")),
         {
@@ -160,7 +165,7 @@ def alert_findings(ctx: Context) -> DataFrame:
 def tlsdga_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.tlsdga
     model = tlsdga.bigram_model(ctx.words)
-    rows = tlsdga.dga_detect(ctx.dns, model, cfg)
+    rows = materialize(tlsdga.dga_detect(ctx.dns, model, cfg), "detected")
     rows = _cited(_subject(ctx, rows), tlsdga.labelled(ctx.dns), ["src_ip", "suffix", "label"], cfg.artifact_samples)
     name = F.concat_ws(".", "label", "suffix")
     shape = evidence(
@@ -175,7 +180,7 @@ def tlsdga_findings(ctx: Context) -> DataFrame:
         F.col("__cited"),
     )
     dga = findings(rows, predicate="resolves_algorithmic_domain", subject=_actor(), object=entity(F.lit("domain"), name), evidence=F.array(shape, family), confidence=F.col("score"), severity=severity([(cfg.dga_high, "high")], "medium"), basis=basis(list(tlsdga.DGA_WEIGHTS), F.concat(F.col("queries").cast("string"), F.lit(" queries"))), analyzer="tlsdga")
-    tls = _cited(_subject(ctx, tlsdga.tls_detect(ctx.ssl, cfg)), ctx.ssl.where("ja3 is not null"), ["src_ip", "ja3"], cfg.artifact_samples)
+    tls = _cited(_subject(ctx, materialize(tlsdga.tls_detect(ctx.ssl, cfg), "detected")), ctx.ssl.where("ja3 is not null"), ["src_ip", "ja3"], cfg.artifact_samples)
     extra = ctx.ssl.join(tls.select("src_ip", "ja3"), ["src_ip", "ja3"], "left_semi").groupBy("src_ip", "ja3").agg(F.min("ja3s").alias("ja3s"), F.slice(F.array_sort(F.collect_set("server_name")), 1, 5).alias("server_names"))
     tls = tls.join(extra, ["src_ip", "ja3"], "left")
     client = evidence(
@@ -188,7 +193,7 @@ def tlsdga_findings(ctx: Context) -> DataFrame:
 
 def host_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.host
-    rare, lineage = host.detect(ctx.processes, cfg)
+    rare, lineage = [materialize(x, "detected") for x in host.detect(ctx.processes, cfg)]
     records = host.named(ctx.processes)
     detail = lambda rows, keys: null_safe_semi(records, rows, keys).groupBy(*keys).agg(
         F.slice(F.array_sort(F.collect_set("command_line")), 1, 3).alias("command_lines"), F.min("sha256").alias("sha256"), F.min("user").alias("user"), F.min("integrity_level").alias("integrity_level"),
@@ -209,6 +214,7 @@ def host_findings(ctx: Context) -> DataFrame:
     first = findings(rows, predicate="executes_rare_process", subject=subject, object=target, evidence=F.array(found), confidence=F.col("score"), severity=F.lit("medium"), basis=basis(list(host.PROCESS_WEIGHTS), F.concat(F.col("observed").cast("string"), F.lit(" executions"))), analyzer="host")
     keys = ["host", "parent_name", "image_name"]
     rows = _cited(lineage, records, keys, cfg.artifact_samples).join(detail(lineage, keys), keys, "left")
+    rows = materialize(rows, "lineage")
     walked = host.ancestry(ctx.processes, rows.select("process_guid").where("process_guid is not null"), cfg.max_depth)
     rows = rows.join(walked, "process_guid", "left")
     edge = evidence(
@@ -226,8 +232,8 @@ def host_findings(ctx: Context) -> DataFrame:
 
 def intel_findings(ctx: Context) -> DataFrame:
     cfg = ctx.configs.intel
-    observed = intel.observations(ctx.connections, ctx.alerts, ctx.dns)
-    rows = intel.detect(observed, ctx.indicators, cfg)
+    observed = materialize(intel.observations(ctx.connections, ctx.alerts, ctx.dns), "observed")
+    rows = materialize(intel.detect(observed, ctx.indicators, cfg), "detected")
     known = ioc.best_of(ctx.indicators).select(F.col("value").alias("indicator"), "feed", "added", "confidence", "note", "source_file", "source_line", F.col("kind").alias("k"))
     rows = rows.join(ioc.small(known), (rows["indicator"] == known["indicator"]) & (rows["kind"] == known["k"])).drop(known["indicator"], "k")
     declared = F.coalesce("confidence", "feed.declared_confidence")
@@ -246,7 +252,7 @@ def intel_findings(ctx: Context) -> DataFrame:
     )
     kind = F.when(F.col("kind") == "domain", "domain").otherwise("ip")
     first = findings(rows, predicate="matches_threat_intel", subject=entity(kind, F.col("value")), object=None, evidence=F.array(found), confidence=F.col("score"), severity=severity([(cfg.medium, "medium")], "low"), basis=F.concat(F.lit("declared confidence halved every "), F.lit(f"{cfg.half_life_days:.0f} days")), analyzer="intel")
-    scored = intel.score(observed, ctx.indicators, cfg)
+    scored = materialize(intel.score(observed, ctx.indicators, cfg), "matches")
     edges = intel.links(ctx.dns, scored, cfg).withColumn("first_ts", F.lit(None).cast("double")).withColumn("last_ts", F.lit(None).cast("double"))
     edges = edges.withColumn("__cited", artifacts(F.array().cast("array<struct<n:int,source:string,locator:string,observed_at:timestamp,excerpt:string>>")))
     shared = evidence("shared_infrastructure", F.concat(F.col("u"), F.lit(" and "), F.col("v"), F.lit(" share "), F.col("via")), {"link": F.col("link"), "via": F.col("via"), "anchor_indicator": F.col("anchor_indicator"), "anchor_confidence": F.round("score", 4)}, F.col("__cited"))
@@ -268,5 +274,6 @@ RUNNERS = {
 
 
 def all_findings(ctx: Context, detectors: tuple[str, ...] = DETECTORS) -> DataFrame:
-    """The findings of all detectors."""
-    return reduce(DataFrame.unionByName, [RUNNERS[name](ctx) for name in detectors])
+    """The findings of all detectors, each run on its own and its few findings written, so that plans stay small."""
+    ctx = replace(ctx, known_window=materialize(ctx.window(), "window"))
+    return reduce(DataFrame.unionByName, [materialize(RUNNERS[name](ctx), f"findings-{name}") for name in detectors])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.exprs import content_id
 from tamarack.lexicon import SEVERITIES, UNARY
 from tamarack.plans.findings import evidence, findings
+from tamarack.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -91,9 +92,9 @@ def ordered_edges(members: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def incidents(found: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row a group with its priority and its findings in order."""
-    members = grouped(found, cfg)
+    members = materialize(grouped(found, cfg), "members")
     if cfg.order_behaviours:
-        members = members.unionByName(ordered_edges(members, cfg))
+        members = members.unionByName(materialize(ordered_edges(members, cfg), "edges"))
     derived = F.col("predicate").isin(*cfg.non_evidential)
     strongest = members.where(~derived).groupBy("group", "predicate").agg(F.max("confidence").alias("c"))
     counted = F.when(~F.col("predicate").isin(*cfg.non_corroborating), F.col("predicate"))

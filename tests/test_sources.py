@@ -2,6 +2,8 @@
 
 import gzip
 
+import pytest
+
 from tamarack import cli, schemas, synth
 from tamarack.side.indicators import read_ioc_text
 from tamarack.side.inventory import read_inv_text
@@ -13,7 +15,7 @@ HEAD = "#separator \\x09\n#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.
 
 def test_zeek_tsv_json_gzip(spark, tmp_path):
     (tmp_path / "conn.log").write_text(HEAD + "1.5\tC1\t10.0.0.1\t1\t10.0.0.2\t80\ttcp\t-\t12\n\n# note\n2.5\tC2\t10.0.0.1\t2\t10.0.0.3\t-\ticmp\thttp\textra\tmore\n")
-    (tmp_path / "conn.10:00.log.gz").write_bytes(gzip.compress((HEAD + "3.5\tC3\t10.0.0.9\t1\t10.0.0.2\t80\ttcp\t-\t12\n").encode()))
+    (tmp_path / "conn.10h00.log.gz").write_bytes(gzip.compress((HEAD + "3.5\tC3\t10.0.0.9\t1\t10.0.0.2\t80\ttcp\t-\t12\n").encode()))
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "conn.json.log").write_text('{"ts": 4.5, "uid": "C4", "id.orig_h": "10.0.0.5", "id.resp_p": 443}\nnot json\n')
     (tmp_path / "connections.log").write_text(HEAD + "9.5\tX\t1.1.1.1\t1\t2.2.2.2\t80\ttcp\t-\t12\n")
@@ -24,6 +26,12 @@ def test_zeek_tsv_json_gzip(spark, tmp_path):
     assert rows["C1"].source_file.endswith("/conn.log")
 
 
+def test_names_with_colons_are_refused_aloud(spark, tmp_path):
+    (tmp_path / "conn.10:00.log").write_text(HEAD)
+    with pytest.raises(ValueError, match="colon"):
+        zeek.load_connections(spark, str(tmp_path))
+
+
 def test_zeek_dns_and_ssl(spark, tmp_path):
     (tmp_path / "dns.log").write_text('{"ts": 1, "id.orig_h": "a", "query": "x.com", "qtype": 1, "qtype_name": "A", "rcode": 3, "rcode_name": "NXDOMAIN", "answers": ["1.1.1.1", "2.2.2.2"]}\n{"ts": 2, "id.orig_h": "a", "query": "y.com", "qtype": 16}\n')
     (tmp_path / "ssl.log").write_text("#fields\tts\tid.orig_h\testablished\n1\ta\tT\n2\ta\tF\n3\ta\t-\n")
@@ -41,13 +49,13 @@ def test_netflow(spark, tmp_path):
             [
                 line("2011-08-10 09:46:53.047277", "3.5", "TCP", "1.1.1.1:1027", "->", "2.2.2.2:5678", "S_", "0", "3", "200", "1", "flow=From-Botnet-V50"),
                 line("2011-08-10 09:46:54", "0", "TCP", "2.2.2.2:443", "->", "1.1.1.1:52431", "S_", "0", "3", "200", "1", "Normal"),
-                line("2011-08-10 09:46:55", "0", "ICMP", "fe80::1", "->", "fe80::2", "", "0", "1", "x", "1", "Background"),
+                line("2011-08-10 09:46:55", "0", "ICMP", "10.0.0.9", "->", "10.0.0.8", "", "0", "1", "x", "1", "Background"),
                 line("bad", "0", "TCP", "1.1.1.1:1", "->", "2.2.2.2:2", "", "0", "1", "1", "1", "b"),
             ]
         )
     )
     rows = netflow.load_netflow(spark, str(tmp_path / "cap")).orderBy("ts").collect()
-    assert [(r.src_ip, r.dst_port, r.label, r.source_line, r.orig_bytes) for r in rows] == [("1.1.1.1", 5678, "botnet", 2, 200), ("fe80::1", None, "background", 4, None)]
+    assert [(r.src_ip, r.dst_port, r.label, r.source_line, r.orig_bytes) for r in rows] == [("1.1.1.1", 5678, "botnet", 2, 200), ("10.0.0.9", None, "background", 4, None)]
     assert rows[0].ts == 1312969613.047 and netflow.load_netflow(spark, str(tmp_path / "cap"), orient=False).count() == 3
 
 
@@ -88,14 +96,14 @@ def test_round_trip_and_cli(spark, tmp_path, capsys):
     sinks.write_eve(synth.frame(spark, synth.alert_corpus()[0], schemas.ALERTS), str(tmp_path / "eve.json"))
     sinks.write_sysmon(synth.frame(spark, synth.host_corpus(hosts=6)[0], schemas.PROCESSES), str(tmp_path / "sysmon.json"))
     (tmp_path / "a.inv").write_text("10.1.0.99 scanner stated=2023-11-01\n")
-    assert cli.main(["run", str(tmp_path)], spark) == 0
+    assert cli.main(["run", str(tmp_path), "--detectors", "fanout,alerts"], spark) == 0
     out = capsys.readouterr().out
     assert "Scans — scanner" in out
     assert cli.main(["run", str(tmp_path / "none")], spark) == 2
     (tmp_path / "empty").mkdir()
     assert cli.main(["run", str(tmp_path / "empty")], spark) == 1
     assert cli.main(["doctor", "--telemetry", str(tmp_path)], spark) == 0 and "sufficient" in capsys.readouterr().out
-    assert cli.main(["hunt", str(tmp_path), "--dialect", "spark", "--out", str(tmp_path / "h")], spark) == 0 and list((tmp_path / "h").iterdir())
+    assert cli.main(["hunt", str(tmp_path), "--detectors", "fanout", "--dialect", "spark", "--out", str(tmp_path / "h")], spark) == 0 and list((tmp_path / "h").iterdir())
     assert cli.main(["lexicon"]) == 0 and cli.main(["version"]) == 0
 
 
