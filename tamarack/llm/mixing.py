@@ -8,7 +8,8 @@ blocks of each source's permuted sequence and is shuffled locally by a hash.
 
 The cut of the partial pass is found by two rounds of radix selection (block, then sub-block): each is an aggregate of
 at most BLOCKS rows a source, so no group of documents is ever gathered.  What is still missing after it (less than a
-sub-block) is filled by single documents, each time the largest one that fits, found by one aggregate.
+sub-block, or than one long document) is filled by single documents, each time the largest one that fits, found by one
+aggregate: first such as the partial pass left out, then others once more.
 
 Sizes are numbers of words; null and empty texts have size 0 and are never taken.  Null is a source of its own, the last.
 Rows equal in id and text are taken alike.  An empty table gives no rows.  Sources are a dimension: their targets are
@@ -25,8 +26,9 @@ from tamarack.llm.common import materialize, word_count
 
 #: Hash blocks of a source, and sub-blocks of a block; powers of two.
 BLOCKS = 1024
-#: Single documents that may fill what is missing to a source's target: first such as the partial pass left out, then any.
-FILLERS = 8
+#: Single documents that may fill what is missing to a source's target, and the missing share at which that ends.
+FILLERS = 40
+NEAR = 0.0005
 #: Numbers in the plan of all sources up to which it is broadcast (8 bytes each).
 BROADCAST_NUMBERS = 1 << 21
 
@@ -106,18 +108,22 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: i
         inside = light.join(table(["block_cut"]), F.col("__source").eqNullSafe(F.col("r_source")) & (F.col("__block") == F.col("block_cut"))).select("__source", "__size", "__sub")
         for r in _cut(inside, table(["rest"]), "__sub").collect():
             of[r["__source"]] |= {"sub_cut": r["cut"], "rest": of[r["__source"]]["rest"] - r["before"]}
-        for turn in range(FILLERS):
-            partial = [x for x in partial if x["rest"] > 0]
+        for _ in range(FILLERS):
+            partial = [x for x in partial if x["rest"] > NEAR * x["target"]]
             if not partial:
                 break
             taken = spark.createDataFrame([[x["source"], x["rest"], x["whole"], x["block_cut"], x["sub_cut"], x["fillers"]] for x in partial], f"r_source {kind}, rest long, whole long, block_cut long, sub_cut long, fillers array<long>")
             fits = light.join(F.broadcast(taken), F.col("__source").eqNullSafe(F.col("r_source"))).where((F.col("__size") > 0) & (F.col("__size") <= F.col("rest")) & ~_is_filler())
-            fits = fits.where(~_in_partial() if 2 * turn < FILLERS else F.col("whole") + _in_partial().cast("long") < limit)
-            best = fits.groupBy("__source").agg(F.max(F.struct("__size", "__key")).alias("x")).collect()
+            one = F.struct("__size", "__key")
+            left_out = F.max(F.when(~_in_partial(), one))
+            again = F.max(F.when(F.col("whole") + _in_partial().cast("long") < limit, one))
+            best = fits.groupBy("__source").agg(F.coalesce(left_out, again).alias("x")).where("x is not null").collect()
             for r in best:
                 row = of[r["__source"]]
                 row["fillers"].append(r["x"]["__key"])
                 row["rest"] -= r["x"]["__size"]
+            named = {r["__source"] for r in best}
+            partial = [x for x in partial if x["source"] in named]
     quotas = [x["whole"] * BLOCKS + (x["block_cut"] + 1 if x["target"] > x["whole"] * x["size"] and x["whole"] < limit else 0) for x in rows]
     shards = max(1, -(-sum(sizes.values()) // shard_words))
     if rows:
