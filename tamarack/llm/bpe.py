@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import prepare, texts
+from tamarack.llm.common import lists_of, prepare, texts
 from tamarack.llm.pieces import PieceCache, byte_level_pieces, spaced_pieces
 
 _NEVER = np.iinfo(np.int64).max
@@ -65,7 +65,7 @@ class BpeModel:
             raise ValueError(f"unsupported decoder {self.decoder}")
         self.symbols = byte_symbols()
         self.bytes_of = {ord(s): b for b, s in enumerate(self.symbols)}
-        self.words = PieceCache(self._encode_words)
+        self.words = PieceCache(self._word_bytes, limit=100_000)
         self.tested: dict[int, bool] = {}
 
     @classmethod
@@ -217,9 +217,13 @@ class BpeModel:
             wrong[owner[:-1][side][~fine[which]]] = True
         return [self.merge(w) if bad else p for w, p, bad in zip(words, proposed, wrong.tolist(), strict=True)]
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
+    def _word_bytes(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words as little-endian 32-bit integers, which take a fraction of a list's memory."""
         table = self.symbols
-        return self.encode_words(["".join([table[b] for b in x.encode()]) for x in words])
+        ids = self.encode_words(["".join([table[b] for b in x.encode()]) for x in words])
+        flat = np.array([y for x in ids for y in x], "<i4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ids else []
 
     def normalize(self, text: str) -> str:
         if self.nfc and not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -243,15 +247,20 @@ class BpeModel:
         first, *rest = self.cut(self.normalize(text))
         return [first, *[" " + x for x in rest]]
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         words = [self.pattern.findall(x) for x in pieces]
-        return [[z for y in x for z in y] for x in self.words.values_of(words)]
+        return [b"".join(x) for x in self.words.values_of(words)]
 
-    def encode_batch(self, items: list[str]) -> list[list[int]]:
+    def encode_bytes(self, items: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         cut = [self.pieces(x) for x in items]
         new = list({y for x in cut for y in x if not isinstance(y, int)})
-        ids = dict(zip(new, self.encode_pieces(new), strict=True))
-        return [[z for y in x for z in ([y] if isinstance(y, int) else ids[y])] for x in cut]
+        ids: dict = dict(zip(new, self.encode_pieces(new), strict=True))
+        ids |= {i: np.array([i], "<i4").tobytes() for i in self.added.values()}
+        return [b"".join(map(ids.__getitem__, x)) for x in cut]
+
+    def encode_batch(self, items: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_bytes(items)]
 
     def decode(self, ids: list[int], skip_special_tokens: bool = False) -> str:
         skip = set(self.added.values()) if skip_special_tokens else ()
@@ -280,7 +289,7 @@ def _digester(path: str):
     def entry(ids: list[int]):
         return len(ids), " ".join(map(str, ids)), model.decode(ids)
 
-    kept = PieceCache(lambda pieces: [entry(x) if x else () for x in model.encode_pieces(pieces)])
+    kept = PieceCache(lambda pieces: [entry(np.frombuffer(x, "<i4").tolist()) if x else () for x in model.encode_pieces(pieces)], limit=200_000)
 
     def digest(items: list[str]):
         cut = [model.pieces(x) for x in items]
@@ -302,8 +311,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         model = BpeModel.from_file(path)
         for batch in batches:
-            ids = model.encode_batch(texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = model.encode_bytes(texts(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists_of(np.frombuffer(b"".join(ids), "<i4"), [len(x) // 4 for x in ids])], names=["doc_id", "ids"])
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

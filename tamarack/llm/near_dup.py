@@ -45,7 +45,7 @@ _ODD = _SEEDED.integers(0, 2**64, SLOTS, np.uint64) | np.uint64(1)
 _KEY = _SEEDED.integers(0, 2**64, (SLOTS, WIDTH), np.uint64) | np.uint64(1)
 _FIRST, _SECOND, _THIRD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Distinct words whose hashes a worker keeps.
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 #: Shingles worked on at once, so that the arrays stay in the processor's cache.
 _AT_ONCE = 1 << 17
 

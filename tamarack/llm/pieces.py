@@ -64,7 +64,7 @@ class PieceCache:
     Values are never None.
     """
 
-    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 350_000, longest: int = 64, at_once: int = 8192):
+    def __init__(self, work_out: Callable[[list[str]], list], limit: int = 250_000, longest: int = 64, at_once: int = 8192):
         self.work_out, self.limit, self.longest, self.at_once = work_out, limit, longest, at_once
         self.values: dict = {}
         self.older: dict = {}
