@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import lists_of, prepare, texts
+from tamarack.llm.common import lists_of, prepare, texts, tidied
 from tamarack.llm.pieces import PieceCache, byte_level_pieces, spaced_pieces
 
 _NEVER = np.iinfo(np.int64).max
@@ -316,7 +316,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return rows.mapInArrow(tidied(run), f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -328,7 +328,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [model.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,4 +346,4 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidied(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

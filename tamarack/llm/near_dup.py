@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import binary_texts, materialize, prepare, shuffle_partitions
+from tamarack.llm.common import binary_texts, materialize, prepare, shuffle_partitions, tidied
 
 SLOTS, WIDTH = 64, 4
 CHUNKS = SLOTS // WIDTH
@@ -150,6 +150,7 @@ def _profile(k: int):
             written = iter(signatures(full).astype("<u2") if full else ())
             sig = [next(written).tobytes() + odd_sketch(x) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), _to_long(sums[0]), _to_long(sums[1]), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
+        _words.clear()
 
     return run
 
@@ -209,10 +210,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
 
     texts = docs.join(ids, "id", "left_semi").select("id", "text")
-    found = texts.mapInArrow(sets, "id long, set binary")
+    found = texts.mapInArrow(tidied(sets), "id long, set binary")
     one = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(found.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct()
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(tidied(compare), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,14 +240,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     by_id = rows.withColumnRenamed("doc_id", "id")
-    profiles = materialize(rows.mapInArrow(_profile(words), "doc_id long, n long, h1 long, h2 long, sig binary"), "profiles")
+    profiles = materialize(rows.mapInArrow(tidied(_profile(words)), "doc_id long, n long, h1 long, h2 long, sig binary"), "profiles")
     linkable = profiles.where(F.col("n").cast("boolean") & F.col("doc_id").isNotNull())
     classes = linkable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.count("*").alias("members"))
     # many small tasks, as each class gives SLOTS rows of the index
     classes = materialize(classes.repartition(shuffle_partitions(spark), "id"), "classes")
-    traits = classes.select("id", "n", "sig").mapInArrow(_traits, _TRAITS)
+    traits = classes.select("id", "n", "sig").mapInArrow(tidied(_traits), _TRAITS)
 
-    keys = classes.select("id", "sig").mapInArrow(_index, "key long, id long")
+    keys = classes.select("id", "sig").mapInArrow(tidied(_index), "key long, id long")
     met = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
     buckets = materialize(keys.join(met.hint("shuffle_hash"), "key"), "buckets")
 

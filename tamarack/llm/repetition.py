@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import binary_texts, joined, prepare
+from tamarack.llm.common import binary_texts, joined, prepare, tidied
 
 SYMBOLS = b"#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -166,7 +166,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{x} long" for x in names))
+    found = rows.mapInArrow(tidied(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{x} long" for x in names))
     failed = (F.col("n_words") < rules.base_min_words) | (100 * F.col("n_repeat_words") > rules.base_max_repeat_percent * F.col("n_words"))
     fraction = F.when(F.col("word_chars") > 0, F.col("covered_chars") / F.col("word_chars")).otherwise(F.lit(0.0))
     fine = (fraction <= rules.max_covered_fraction) & (F.col("longest_repeat") <= rules.max_longest_repeat)
