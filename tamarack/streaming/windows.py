@@ -68,7 +68,7 @@ def rolling_intervals(rows: DataFrame, keep: int = 256, lateness: str = "10 minu
             seen += len(b)
         known = sorted(known)[-keep:]
         state.update((known, seen))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(int(known[-1] * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
         gaps = pd.Series(known).diff().dropna()
         gaps = gaps[gaps > 0]
         median = float(gaps.median()) if len(gaps) else float("nan")
@@ -78,7 +78,7 @@ def rolling_intervals(rows: DataFrame, keep: int = 256, lateness: str = "10 minu
     return (
         rows.withWatermark("event_time", lateness)
         .groupBy(*KEYS)
-        .applyInPandasWithState(step, "src_ip string, dst_ip string, dst_port int, n long, period double, jitter double", "times array<double>, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(step, "src_ip string, dst_ip string, dst_port int, n long, period double, jitter double", "times array<double>, n long", "update", GroupStateTimeout.EventTimeTimeout)
     )
 
 
