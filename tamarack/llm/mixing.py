@@ -6,10 +6,12 @@ shards again and again; at each node it draws, from the multivariate hypergeomet
 of each source go left, so every shard's composition is exact and random.  Each shard then takes the next disjoint
 blocks of each source's permuted sequence and is shuffled locally by a hash.
 
-The cut of the partial pass is found by two rounds of radix selection (block, then sub-block): each is an aggregate of
-at most BLOCKS rows a source, so no group of documents is ever gathered.  What is still missing after it (less than a
-sub-block, or than one long document) is filled by single documents, each time the largest one that fits, found by one
-aggregate: first such as the partial pass left out, then others once more.
+What is left of a target after the whole passes is taken in key order: every document that still fits, until nothing fits
+or the rest is near.  A long document at the cut is skipped, not the end.  The selection runs in levels: a level takes all
+documents of a range of keys whose size is at most what was missing at its start, up to the first one that overflows, found
+by radix selection; each step is an aggregate of at most BLOCKS rows a source, so no group of documents is ever gathered.
+The next level goes on behind it.  Where nothing of a pass fits any more, the next pass begins, as far as the limit allows.
+In the last pass allowed, documents longer than the rest stay out, so a source of few long documents may stay below.
 
 Sizes are numbers of words; null and empty texts have size 0 and are never taken.  Null is a source of its own, the last.
 Rows equal in id and text are taken alike.  An empty table gives no rows.  Sources are a dimension: their targets are
@@ -19,15 +21,18 @@ worked out on the driver, one row a source.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import materialize, word_count
 
-#: Hash blocks of a source, and sub-blocks of a block; powers of two.
-BLOCKS = 1024
-#: Single documents that may fill what is missing to a source's target, and the missing share at which that ends.
-FILLERS = 40
+#: Hash blocks of a source, and groups of a step of radix selection: 2 ** BLOCK_BITS.
+BLOCK_BITS = 10
+BLOCKS = 1 << BLOCK_BITS
+#: Keys are below END; the block is a key's first bits.
+KEY_BITS = 62
+END = 1 << KEY_BITS
+#: Missing share of a target at which the selection ends.
 NEAR = 0.0005
 #: Numbers in the plan of all sources up to which it is broadcast (8 bytes each).
 BROADCAST_NUMBERS = 1 << 21
@@ -69,23 +74,62 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
-    """docs with the columns __size, __key, __block and __sub added."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    return docs.withColumn("__size", word_count(text_col)).withColumn("__key", key).withColumn("__block", F.pmod("__key", F.lit(BLOCKS))).withColumn("__sub", F.pmod(F.shiftright("__key", 20), F.lit(BLOCKS)))
-
-
-def _cut(rows: DataFrame, rest: DataFrame, by: str) -> DataFrame:
-    """(source, cut, before): the first group whose words, with those of the groups before it, exceed the rest; and the words before it."""
-    order = Window.partitionBy("__source").orderBy(by)
-    sums = rows.groupBy("__source", by).agg(F.sum("__size").alias("words")).withColumn("upto", F.sum("words").over(order))
-    over = sums.join(rest, F.col("__source").eqNullSafe(F.col("r_source"))).where(F.col("upto") > F.col("rest"))
-    return over.groupBy("__source").agg(F.min_by(F.struct(F.col(by).alias("cut"), (F.col("upto") - F.col("words")).alias("before")), by).alias("x")).select("__source", "x.*")
+    """docs with the columns __size, __key and __block added."""
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - KEY_BITS)
+    return docs.withColumn("__size", word_count(text_col)).withColumn("__key", key).withColumn("__block", F.shiftright("__key", KEY_BITS - BLOCK_BITS))
+
+
+def _cut(light: DataFrame, states: DataFrame) -> DataFrame:
+    """(source, over, words): of the keys from at to end that fit under cap, the first group whose words, with those of the groups before it, exceed the rest; and all words."""
+    fits = light.join(F.broadcast(states), F.col("__source").eqNullSafe(F.col("r_source"))).where("__size > 0 AND __size <= cap AND __key >= at AND __key < end")
+    sums = fits.groupBy("__source", "rest", F.expr("shiftright(__key, shift)").alias("cut")).agg(F.sum("__size").alias("words"), F.count("*").alias("n"), F.min("__key").alias("first"))
+    sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("__source").orderBy("cut")))
+    over = F.when(F.col("upto") > F.col("rest"), F.struct("cut", "n", "first", (F.col("upto") - F.col("words")).alias("before")))
+    return sums.groupBy("__source").agg(F.min(over).alias("over"), F.sum("words").alias("words"))
+
+
+def _open(x: dict, lo: int) -> None:
+    """Begin a level at a key."""
+    x |= {"lo": lo, "cap": x["rest"], "at": lo, "end": END, "shift": KEY_BITS - BLOCK_BITS, "words": 0}
+
+
+def _close(x: dict, hi: int) -> None:
+    """End a level before a key.  Its documents are dealt to as many block passes as its words come to, behind those of the levels before."""
+    if x["words"]:
+        x["extra"] += x["words"]
+        upto = x["whole"] * BLOCKS + -(-x["extra"] * BLOCKS // x["size"])
+        first = min(x["blocks"], upto - 1)
+        x["levels"].append((x["pass"], x["lo"], hi, x["cap"], first, upto - first))
+        x["blocks"] = upto
+    _open(x, hi)
+
+
+def _advance(x: dict, found, limit: int) -> bool:
+    """Take a step's outcome into a source's state; is there more to select?"""
+    if found is None or found["over"] is None:
+        if found is None and x["lo"] == 0:
+            return False
+        x["words"] = found["words"] if found else 0
+        x["rest"] -= x["words"]
+        _close(x, END)
+        x["pass"] += 1
+        _open(x, 0)
+        return x["pass"] < limit and x["rest"] > NEAR * x["target"]
+    over = found["over"]
+    x["rest"] -= over["before"]
+    x["words"] += over["before"]
+    near = x["rest"] <= NEAR * x["target"]
+    if over["n"] > 1 and not near:
+        x |= {"at": over["cut"] << x["shift"], "end": (over["cut"] + 1) << x["shift"], "shift": max(0, x["shift"] - BLOCK_BITS)}
+        return True
+    _close(x, over["first"] if over["n"] == 1 else over["cut"] << x["shift"])
+    return not near
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, shard_words: int = 20_000_000, seed: int = 5, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> list[dict]:
-    """For each source: size, target, whole passes, cut of the partial pass, fillers and its block passes by shard."""
+    """For each source: size, target, whole passes, levels of the partial ones and its block passes by shard."""
     spark = docs.sparkSession
-    light = _keyed(docs, id_col, source_col, text_col, seed).select(F.col(source_col).alias("__source"), "__size", "__key", "__block", "__sub")
+    light = _keyed(docs, id_col, source_col, text_col, seed).groupBy(F.col(source_col).alias("__source"), "__key").agg(F.sum("__size").alias("__size"))
     light = materialize(light, "mix-sizes")
     sizes = {r["__source"]: r["n"] for r in light.groupBy("__source").agg(F.sum("__size").alias("n")).collect()}
     names = sorted((x for x in sizes if x is not None)) + ([None] if None in sizes else [])
@@ -94,72 +138,43 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: i
     for name, target in zip(names, goal, strict=True):
         whole = min(limit, int(target // sizes[name])) if sizes[name] else 0
         rest = 0 if whole == limit else int(round(target - whole * sizes[name]))
-        rows.append({"source": name, "size": sizes[name], "target": target, "whole": whole, "rest": rest, "block_cut": 0, "sub_cut": 0, "fillers": []})
-    of = {x["source"]: x for x in rows}
-    partial = [x for x in rows if x["rest"] > 0]
+        rows.append({"source": name, "size": sizes[name], "target": target, "whole": whole, "rest": rest, "pass": whole, "levels": [], "extra": 0, "blocks": whole * BLOCKS})
+    selecting = [x for x in rows if x["rest"] > 0]
+    for x in selecting:
+        _open(x, 0)
+    columns = ["source", "rest", "cap", "at", "end", "shift"]
     kind = light.schema["__source"].dataType.simpleString()
-
-    def table(columns: list[str]) -> DataFrame:
-        return F.broadcast(spark.createDataFrame([[x["source"], *(x[c] for c in columns)] for x in partial], f"r_source {kind}, " + ", ".join(f"{c} long" for c in columns)))
-
-    if partial:
-        for r in _cut(light, table(["rest"]), "__block").collect():
-            of[r["__source"]] |= {"block_cut": r["cut"], "rest": of[r["__source"]]["rest"] - r["before"]}
-        inside = light.join(table(["block_cut"]), F.col("__source").eqNullSafe(F.col("r_source")) & (F.col("__block") == F.col("block_cut"))).select("__source", "__size", "__sub")
-        for r in _cut(inside, table(["rest"]), "__sub").collect():
-            of[r["__source"]] |= {"sub_cut": r["cut"], "rest": of[r["__source"]]["rest"] - r["before"]}
-        for _ in range(FILLERS):
-            partial = [x for x in partial if x["rest"] > NEAR * x["target"]]
-            if not partial:
-                break
-            taken = spark.createDataFrame([[x["source"], x["rest"], x["whole"], x["block_cut"], x["sub_cut"], x["fillers"]] for x in partial], f"r_source {kind}, rest long, whole long, block_cut long, sub_cut long, fillers array<long>")
-            fits = light.join(F.broadcast(taken), F.col("__source").eqNullSafe(F.col("r_source"))).where((F.col("__size") > 0) & (F.col("__size") <= F.col("rest")) & ~_is_filler())
-            one = F.struct("__size", "__key")
-            left_out = F.max(F.when(~_in_partial(), one))
-            again = F.max(F.when(F.col("whole") + _in_partial().cast("long") < limit, one))
-            best = fits.groupBy("__source").agg(F.coalesce(left_out, again).alias("x")).where("x is not null").collect()
-            for r in best:
-                row = of[r["__source"]]
-                row["fillers"].append(r["x"]["__key"])
-                row["rest"] -= r["x"]["__size"]
-            named = {r["__source"] for r in best}
-            partial = [x for x in partial if x["source"] in named]
-    quotas = [x["whole"] * BLOCKS + (x["block_cut"] + 1 if x["target"] > x["whole"] * x["size"] and x["whole"] < limit else 0) for x in rows]
+    while selecting:
+        states = spark.createDataFrame([[x[c] for c in columns] for x in selecting], f"r_source {kind}, rest long, cap long, at long, end long, shift int")
+        found = {r["__source"]: r for r in _cut(light, states).collect()}
+        selecting = [x for x in selecting if _advance(x, found.get(x["source"]), limit)]
     shards = max(1, -(-sum(sizes.values()) // shard_words))
     if rows:
-        for x, upto in zip(rows, np.cumsum(splitting_tree(quotas, shards, seed), axis=0).T.tolist(), strict=True):
+        for x, upto in zip(rows, np.cumsum(splitting_tree([x["blocks"] for x in rows], shards, seed), axis=0).T.tolist(), strict=True):
             x["upto"] = upto
     return rows
 
 
-def _in_partial() -> Column:
-    return (F.col("__block") < F.col("block_cut")) | ((F.col("__block") == F.col("block_cut")) & (F.col("__sub") < F.col("sub_cut")))
-
-
-def _is_filler() -> Column:
-    return F.array_contains("fillers", F.col("__key"))
+_LEVELS = "array<struct<pass: long, lo: long, hi: long, cap: long, first: long, span: long>>"
 
 
 def placed(docs: DataFrame, limit: int = 3, seed: int = 5, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **settings) -> DataFrame:
     """docs with __size, __source_size, __target and __places: for each time the mix takes the document, its shard and its place there."""
     rows = plan(docs, limit=limit, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col, **settings)
     kind = docs.schema[source_col].dataType.simpleString()
-    columns = ["source", "size", "target", "whole", "block_cut", "sub_cut", "fillers", "upto"]
-    table = docs.sparkSession.createDataFrame(
-        [[x[c] for c in columns] + [x["target"] > x["whole"] * x["size"] and x["whole"] < limit] for x in rows],
-        f"p_source {kind}, __source_size long, __target double, whole long, block_cut long, sub_cut long, fillers array<long>, upto array<long>, partial boolean",
-    )
-    if sum(len(x["upto"]) + 16 for x in rows) <= BROADCAST_NUMBERS:
+    columns = ["source", "size", "target", "whole", "levels", "upto"]
+    table = docs.sparkSession.createDataFrame([[x[c] for c in columns] for x in rows], f"p_source {kind}, __source_size long, __target double, whole long, levels {_LEVELS}, upto array<long>")
+    if sum(len(x["upto"]) + 6 * len(x["levels"]) + 16 for x in rows) <= BROADCAST_NUMBERS:
         table = F.broadcast(table)
     keyed = _keyed(docs, id_col, source_col, text_col, seed).join(table, F.col(source_col).eqNullSafe(F.col("p_source")))
-    takes = F.when(F.col("__size") > 0, F.col("whole") + F.when(F.col("partial"), _in_partial().cast("long") + _is_filler().cast("long")).otherwise(F.lit(0))).otherwise(F.lit(0))
-    # the block's place in the source's sequence of block passes; whole passes are permuted, the partial one comes in the order of the cut, fillers in its last block
-    permuted = "pmod((__block * 421 + pass * 233), {n})".format(n=BLOCKS)
-    place = f"pass * {BLOCKS} + if(pass < whole, {permuted}, least(__block, block_cut))"
+    # where the block is in the source's sequence of block passes: whole passes are permuted, a level's documents are dealt by key to its own
+    permuted = f"transform(sequence(0L, whole - 1), pass -> struct(pass AS pass, pass * {BLOCKS} + pmod(__block * 421 + pass * 233, {BLOCKS}) AS at))"
+    dealt = "transform(filter(levels, l -> __key >= l.lo AND __key < l.hi AND __size <= l.cap), l -> struct(l.pass AS pass, l.first + pmod(shiftright(__key, 20), l.span) AS at))"
+    takes = F.expr(f"if(__size > 0, concat(if(whole > 0, {permuted}, array()), {dealt}), array())")
     steps = f"array({', '.join(str(2**k) for k in reversed(range(20)))})"
-    shard = f"aggregate({steps}, 0, (lo, s) -> if(lo + s <= size(upto) AND get(upto, lo + s - 1) <= {place}, lo + s, lo))"
-    places = F.expr(f"if(__takes > 0, transform(sequence(0L, __takes - 1), pass -> struct(pass AS pass, least({shard}, size(upto) - 1) AS shard, xxhash64(__key, pass, {seed + 1}) AS place)), array())")
-    return keyed.withColumn("__takes", takes).withColumn("__places", places).drop("p_source", "whole", "block_cut", "sub_cut", "fillers", "upto", "partial", "__key", "__block", "__sub")
+    shard = f"aggregate({steps}, 0, (lo, s) -> if(lo + s <= size(upto) AND get(upto, lo + s - 1) <= t.at, lo + s, lo))"
+    places = F.expr(f"transform(__takes, t -> struct(t.pass AS pass, least({shard}, size(upto) - 1) AS shard, xxhash64(__key, t.pass, {seed + 1}) AS place))")
+    return keyed.withColumn("__takes", takes).withColumn("__places", places).drop("p_source", "whole", "levels", "upto", "__key", "__block", "__takes")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:

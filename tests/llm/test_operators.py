@@ -208,6 +208,27 @@ def test_mixing(spark, docs, rows, nothing, odd):
     assert spark.read.parquet(out).count() == mixed.count()
 
 
+def _mixed_words(spark, made, **settings):
+    """By source: target, and words taken; made has (doc_id, number of words, source)."""
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in made], "doc_id long, text string, source string").repartition(3)
+    goal, taken = {}, Counter()
+    for r in mixing.placed(df, **settings).collect():
+        assert len(r["__places"]) <= 3 and len({p.shard for p in r["__places"]} - set(range(1000))) == 0
+        goal[r.source] = r["__target"]
+        taken[r.source] += r["__size"] * len(r["__places"])
+    return goal, taken
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("share", [0.45, 0.55])
+def test_mixing_goes_on_behind_a_long_document(spark, seed, share):
+    made = [(i, 50, "a") for i in range(1000)] + [(5000, 50_000, "a")] + [(6000 + i, 100, "b") for i in range(1000)]
+    # a's target is the share of its 100,000 words
+    goal, taken = _mixed_words(spark, made, weights=(share, 2 - share), seed=seed)
+    assert goal["a"] == pytest.approx(share * 100_000)
+    assert all(0 <= goal[s] - taken[s] <= 100 for s in goal), (goal, taken)
+
+
 # --- 6 chat
 
 
