@@ -229,6 +229,11 @@ def test_mixing_goes_on_behind_a_long_document(spark, seed, share):
     assert all(0 <= goal[s] - taken[s] <= 100 for s in goal), (goal, taken)
 
 
+def test_mixing_takes_a_source_whose_rest_is_its_size(spark):
+    goal, taken = _mixed_words(spark, [(i, 1, "a") for i in range(100)] + [(200 + i, 1, "b") for i in range(199)], weights=(1.0, 2.0))
+    assert goal["a"] == pytest.approx(99.67, abs=0.01) and taken == {"a": 100, "b": 199}
+
+
 # --- 6 chat
 
 
