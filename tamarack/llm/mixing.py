@@ -14,7 +14,7 @@ The next level goes on behind it.  Where nothing of a pass fits any more, the ne
 In the last pass allowed, documents longer than the rest stay out, so a source of few long documents may stay below.
 
 Sizes are numbers of words; null and empty texts have size 0 and are never taken.  Null is a source of its own, the last.
-Rows equal in id and text are taken alike.  An empty table gives no rows.  Sources are a dimension: their targets are
+Rows equal in id and text are taken alike, and fit only together.  An empty table gives no rows.  Sources are a dimension: their targets are
 worked out on the driver, one row a source.
 """
 
@@ -126,11 +126,15 @@ def _advance(x: dict, found, limit: int) -> bool:
     return not near
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, shard_words: int = 20_000_000, seed: int = 5, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> list[dict]:
+def _light(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
+    """(source, key, size of all its rows, least size of one)."""
+    light = _keyed(docs, id_col, source_col, text_col, seed).groupBy(F.col(source_col).alias("__source"), "__key")
+    return materialize(light.agg(F.sum("__size").alias("__size"), F.min("__size").alias("__least")), "mix-sizes")
+
+
+def plan(light: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, shard_words: int = 20_000_000, seed: int = 5) -> list[dict]:
     """For each source: size, target, whole passes, levels of the partial ones and its block passes by shard."""
-    spark = docs.sparkSession
-    light = _keyed(docs, id_col, source_col, text_col, seed).groupBy(F.col(source_col).alias("__source"), "__key").agg(F.sum("__size").alias("__size"))
-    light = materialize(light, "mix-sizes")
+    spark = light.sparkSession
     sizes = {r["__source"]: r["n"] for r in light.groupBy("__source").agg(F.sum("__size").alias("n")).collect()}
     names = sorted((x for x in sizes if x is not None)) + ([None] if None in sizes else [])
     goal = targets([sizes[x] for x in names], [float(weights[i % len(weights)]) for i in range(len(names))], limit)
@@ -160,21 +164,27 @@ _LEVELS = "array<struct<pass: long, lo: long, hi: long, cap: long, first: long,
 
 def placed(docs: DataFrame, limit: int = 3, seed: int = 5, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **settings) -> DataFrame:
     """docs with __size, __source_size, __target and __places: for each time the mix takes the document, its shard and its place there."""
-    rows = plan(docs, limit=limit, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col, **settings)
+    light = _light(docs, id_col, source_col, text_col, seed)
+    rows = plan(light, limit=limit, seed=seed, **settings)
     kind = docs.schema[source_col].dataType.simpleString()
     columns = ["source", "size", "target", "whole", "levels", "upto"]
     table = docs.sparkSession.createDataFrame([[x[c] for c in columns] for x in rows], f"p_source {kind}, __source_size long, __target double, whole long, levels {_LEVELS}, upto array<long>")
     if sum(len(x["upto"]) + 6 * len(x["levels"]) + 16 for x in rows) <= BROADCAST_NUMBERS:
         table = F.broadcast(table)
-    keyed = _keyed(docs, id_col, source_col, text_col, seed).join(table, F.col(source_col).eqNullSafe(F.col("p_source")))
+    keyed = _keyed(docs, id_col, source_col, text_col, seed).join(table, F.col(source_col).eqNullSafe(F.col("p_source"))).withColumn("__words", F.col("__size"))
+    # a row that fits a level while all copies of it don't: the level is asked with the size of all
+    copies = light.join(table, F.col("__source").eqNullSafe(F.col("p_source"))).where("exists(levels, l -> __key >= l.lo AND __key < l.hi AND __least <= l.cap AND __size > l.cap)")
+    copies = materialize(copies.select(F.col("__source").alias("c_source"), F.col("__key").alias("c_key"), F.col("__size").alias("c_words")), "mix-copies")
+    if copies.limit(1).count():
+        keyed = keyed.join(copies, F.col(source_col).eqNullSafe(F.col("c_source")) & (F.col("__key") == F.col("c_key")), "left").withColumn("__words", F.coalesce("c_words", "__size")).drop("c_source", "c_key", "c_words")
     # where the block is in the source's sequence of block passes: whole passes are permuted, a level's documents are dealt by key to its own
     permuted = f"transform(sequence(0L, whole - 1), pass -> struct(pass AS pass, pass * {BLOCKS} + pmod(__block * 421 + pass * 233, {BLOCKS}) AS at))"
-    dealt = "transform(filter(levels, l -> __key >= l.lo AND __key < l.hi AND __size <= l.cap), l -> struct(l.pass AS pass, l.first + pmod(shiftright(__key, 20), l.span) AS at))"
+    dealt = "transform(filter(levels, l -> __key >= l.lo AND __key < l.hi AND __words <= l.cap), l -> struct(l.pass AS pass, l.first + pmod(shiftright(__key, 20), l.span) AS at))"
     takes = F.expr(f"if(__size > 0, concat(if(whole > 0, {permuted}, array()), {dealt}), array())")
     steps = f"array({', '.join(str(2**k) for k in reversed(range(20)))})"
     shard = f"aggregate({steps}, 0, (lo, s) -> if(lo + s <= size(upto) AND get(upto, lo + s - 1) <= t.at, lo + s, lo))"
     places = F.expr(f"transform(__takes, t -> struct(t.pass AS pass, least({shard}, size(upto) - 1) AS shard, xxhash64(__key, t.pass, {seed + 1}) AS place))")
-    return keyed.withColumn("__takes", takes).withColumn("__places", places).drop("p_source", "whole", "levels", "upto", "__key", "__block", "__takes")
+    return keyed.withColumn("__takes", takes).withColumn("__places", places).drop("p_source", "whole", "levels", "upto", "__key", "__block", "__words", "__takes")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:

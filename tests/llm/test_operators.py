@@ -234,6 +234,14 @@ def test_mixing_takes_a_source_whose_rest_is_its_size(spark):
     assert goal["a"] == pytest.approx(99.67, abs=0.01) and taken == {"a": 100, "b": 199}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixing_counts_all_copies_of_a_row(spark, seed):
+    made = [(i, 7 + i % 13, "a") for i in range(60) for _ in range(5)] + [(None, 3, "a")] * 90 + [(100 + i, 1 + i % 50, "b") for i in range(200)]
+    goal, taken = _mixed_words(spark, made, weights=(2.0, 3.0), seed=seed)
+    # the least group of copies has 35 words
+    assert all(-1 <= goal[s] - taken[s] <= 35 for s in goal), (goal, taken)
+
+
 # --- 6 chat
 
 
