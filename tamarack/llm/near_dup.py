@@ -5,10 +5,10 @@
    pigeonhole principle two signatures that differ in fewer than 2 * CHUNKS slots differ in at most one slot of some
    chunk, so each chunk is indexed WIDTH times, once for every slot that may be wrong: all pairs under that distance
    meet under some key.  At similarity 0.8 the distance is binomial with mean 12.8 of 64; 32 or more has probability
-   3e-8.
-3. Pairs that meet are pruned by the sizes of their sets, the distance of 2-bit signatures (over MAX_SKETCH_DISTANCE at
-   similarity 0.8: probability 3e-6) and odd sketches (after Mitzenmacher, Pagh and Pham, 2014; used as a bound, which
-   drops no link), and confirmed on full sets.
+   8e-8.
+3. Pairs that meet are pruned by the sizes of their sets, the distance of 2-bit signatures (at most that of the full ones,
+   so MAX_SKETCH_DISTANCE drops no pair under the distance of 2) and odd sketches (after Mitzenmacher, Pagh and Pham,
+   2014; used as a bound, which drops no link), and confirmed on full sets.
 4. No group's pairs are all emitted.  First each id is paired with one other, the smallest of its buckets' smallest ids
    that the prunes allow; most copies get linked by that.  Components follow.  Then, bucket by bucket, members outside
    the largest component are paired with all members of other components; pairs within a component are never needed.
@@ -34,7 +34,7 @@ from tamarack.llm.common import binary_texts, materialize, prepare, shuffle_part
 
 SLOTS, WIDTH = 64, 4
 CHUNKS = SLOTS // WIDTH
-MAX_SKETCH_DISTANCE = 24
+MAX_SKETCH_DISTANCE = 2 * CHUNKS - 1
 #: Bits of an odd sketch: each shingle flips one, so two sketches differ where an odd number of differing shingles fall.
 ODD_BITS = 1024
 ODD_LONGS = ODD_BITS // 64

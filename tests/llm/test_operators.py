@@ -354,6 +354,20 @@ def test_near_duplicates_odd_rows(nothing, odd):
     assert found.count() == odd.count() and found.where("kept is null").count() == 0
 
 
+def test_near_duplicates_of_many_unlike_slots(spark):
+    """A pair over the threshold whose 2-bit signatures differ in more than 24 slots, the full ones in fewer than 32."""
+    words = [f"w{i}" for i in range(300)]
+    sig = lambda w: near_dup.signatures(near_dup.shingle_sets([" ".join(w).encode()], 1))[0]
+    low = lambda x: (x & np.uint64(3)).astype(int)
+    whole, left = sig(words), list(words)
+    while (low(sig(left)) != low(whole)).sum() <= 24:
+        without = {x: sig([y for y in left if y != x]) for x in left}
+        left.remove(max(left, key=lambda x: 3 * (low(without[x]) != low(whole)).sum() - 2 * (without[x] != whole).sum()))
+    assert len(left) >= 0.8 * len(words) and int((sig(left) != whole).sum()) < 32
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(left))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 1).collect()} == {1: 1, 2: 1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200)]
     got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
