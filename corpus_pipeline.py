@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import bpe, mixing, near_dup, quality_model, secret_scan
-from tamarack.llm.common import materialize, prepare, remove_rows
+from tamarack.llm.common import materialize, prepare, remove_rows, told_apart
 from tamarack.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,8 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on five-word shingles: that of the smallest id."""
-    return remove_rows(docs.select(*COLUMNS), near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
+    """One document of each group of near-duplicates on five-word shingles: that of the smallest id.
+
+    Rows that share a doc_id but not a text are judged and kept each by its own text; all but one of these texts count as
+    of larger ids than any other's.
+    """
+    nodes = told_apart(docs.select(*COLUMNS))
+    gone = near_dup.near_duplicates(nodes, id_col="__node").where(~F.col("kept")).select(F.col("doc_id").alias("__node"))
+    return remove_rows(nodes, gone, id_col="__node").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

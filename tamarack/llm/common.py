@@ -66,6 +66,21 @@ def remove_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_c
     return left.withColumn("__row", first).where((F.col("__row") == 1) | F.col(id_col).isNull()).drop("__row").select(*docs.columns)
 
 
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with __node, which rows share that are equal in id and text: the id, or for further texts of one id a hash of both from 2**62 up.
+
+    Null ids stay null.  Tables of unique ids cost one aggregate of ids and hashes; only others are joined.
+    """
+    digest = F.xxhash64(F.col(text_col))
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("s_id")).agg(F.min(digest).alias("s_first"), F.max(digest).alias("s_last"))
+    several = materialize(several.where("s_first <> s_last").select("s_id", "s_first"), "ids-of-several-texts")
+    if not several.limit(1).count():
+        return docs.withColumn("__node", F.col(id_col))
+    further = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    node = F.when(F.col("s_first").isNull() | (F.col("s_first") == digest), F.col(id_col)).otherwise(further)
+    return docs.join(several, F.col(id_col) == F.col("s_id"), "left").withColumn("__node", node).drop("s_id", "s_first")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

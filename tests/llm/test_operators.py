@@ -431,3 +431,17 @@ def test_pipeline(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, shaped, data).count()
         stage(spark, shaped.where("false"), data).count()
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdeinorst") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    made = [(3, a), (7, a), (7, b), (5, c), (5, d), (5, c), (11, e), (11, e.upper()), (12, e + " more"), (2, d), (None, a), (None, None), (14, None), (14, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    kept = got - Counter({(12, e + " more"): 1})
+    assert (12, e + " more") in got or (11, e) in kept
+    assert kept - Counter({(11, e): 1}) == Counter([(3, a), (7, b), (5, c), (2, d), (None, a), (None, ""), (14, ""), (14, "")])
+    assert got[11, e] + got[12, e + " more"] == 1
