@@ -10,6 +10,10 @@ away the right one (of equal merges, the leftmost goes first).  Going back from
 undone first, until both are single characters.  That needs merges whose parts have lower ranks; a file that isn't so
 has all words merged exactly.
 
+Unicode's tables differ between versions, so normalizing, lower-casing and cutting words here could differ from the
+library's own.  Pieces with a character outside ``settled()``, whose properties have stayed the same, are normalized and
+cut into words by the library; their words are then encoded like all others.
+
 Null and empty texts have no ids.  Words of any length are handled: exact merging uses a heap.
 """
 
@@ -19,6 +23,8 @@ import functools
 import hashlib
 import heapq
 import json
+import os
+import re
 import unicodedata
 
 import numpy as np
@@ -46,6 +52,26 @@ def byte_symbols() -> list[str]:
     return [chr(x if x in shown else next(spare)) for x in range(256)]
 
 
+@functools.cache
+def settled() -> frozenset[str]:
+    """Characters that had their present category in Unicode 3.2 already, as had what they become in NFC and lower case."""
+    old = unicodedata.ucd_3_2_0
+    found = {c for c in map(chr, range(0x10000)) if old.category(c) == unicodedata.category(c) and old.category(c) not in ("Cn", "Co", "Cs")}
+    while True:
+        closed = {c for c in found if {*c.lower(), *unicodedata.normalize("NFC", c)} <= found}
+        if len(closed) == len(found):
+            return frozenset(found)
+        found = closed
+
+
+def outside(characters: frozenset[str]) -> re.Pattern:
+    """A pattern of one character that isn't among these."""
+    codes = sorted(map(ord, characters))
+    starts = [x for i, x in enumerate(codes) if i == 0 or codes[i - 1] != x - 1]
+    ends = [x for i, x in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] != x + 1]
+    return re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 class BpeModel:
     """The encoder and decoder of one file: normalizers NFC, Replace of white space and Lowercase, byte-level words."""
 
@@ -59,6 +85,8 @@ class BpeModel:
         self.strings = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.added.items()}
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._read_text_rules(spec)
+        self.unsettled = outside(settled())
+        self.library = _library(spec)
         self._read_merges(model["merges"])
         self.decoder = (spec.get("decoder") or {}).get("type")
         if self.decoder not in (None, "ByteLevel"):
@@ -232,6 +260,9 @@ class BpeModel:
             text = text.replace("Σ", "σ").lower()
         return text
 
+    def _is_unsettled(self, text: str) -> bool:
+        return not text.isascii() and self.unsettled.search(text) is not None
+
     def pieces(self, text: str) -> list:
         """The pieces of a text that can be encoded one by one: strings, and ids of added tokens."""
         out: list = []
@@ -242,13 +273,22 @@ class BpeModel:
         return self._cut(text)
 
     def _cut(self, text: str) -> list[str]:
-        if self.cut is spaced_pieces:
-            return self.cut(self.normalize(text))
-        first, *rest = self.cut(self.normalize(text))
-        return [first, *[" " + x for x in rest]]
+        """Pieces that are normalized, but for those with an unsettled character; no rule reaches across a cut."""
+        if self._is_unsettled(text):
+            pieces = [x if self._is_unsettled(x) else self.normalize(x) for x in self.cut(text)]
+        else:
+            pieces = self.cut(self.normalize(text))
+        return pieces if self.cut is spaced_pieces else [pieces[0], *[" " + x for x in pieces[1:]]]
+
+    def _library_words(self, piece: str) -> list[str]:
+        """The words that the library makes of a piece."""
+        if self.library.normalizer is not None:
+            piece = self.library.normalizer.normalize_str(piece)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(piece)
+        return [bytes([self.bytes_of[ord(c)] for c in x]).decode() for x, _ in cut]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        words = [self.pattern.findall(x) for x in pieces]
+        words = [self._library_words(x) if self._is_unsettled(x) else self.pattern.findall(x) for x in pieces]
         return [b"".join(x) for x in self.words.values_of(words)]
 
     def encode_bytes(self, items: list[str]) -> list[bytes]:
@@ -274,6 +314,15 @@ class BpeModel:
         return out.decode("utf-8", "replace")
 
 
+def _library(spec: dict):
+    """The library's tokenizer with the text rules of a file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = spec["model"] | {"vocab": {}, "merges": []}
+    return Tokenizer.from_str(json.dumps(spec | {"model": model, "added_tokens": []}))
+
+
 @functools.lru_cache(maxsize=2)
 def _digester(path: str):
     """Digests of texts, from what was kept of each piece: number of ids, ids as text, decoded text."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -98,6 +99,21 @@ def test_bpe_is_the_library(path):
     assert token_count._counter(path)(texts) == [len(x) for x in expected]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTE])
+def test_bpe_of_all_code_points(path):
+    """Each code point alone, between letters and before a combining mark; then random strings of characters and marks."""
+    library, mine = Tokenizer.from_file(path), bpe.BpeModel.from_file(path)
+    points = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    texts = [" ".join(f"{c} a{c}a {c}\u0301" for c in points[i : i + 512]) for i in range(0, len(points), 512)]
+    rng = random.Random(5)
+    low = [c for c in points if c < "\u3000" or "\ua000" < c < "\U00020000"]
+    marks = [c for c in low if unicodedata.combining(c)]
+    texts += ["".join(rng.choice((rng.choice(low), rng.choice("aeiouAEIO n'\n"), rng.choice(marks))) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    for i in range(0, len(texts), 256):
+        expected = [x.ids for x in library.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        assert mine.encode_batch(texts[i : i + 256]) == expected
+
+
 def test_bpe_merges_where_speculation_fails():
     model = bpe.BpeModel.from_file(WORDS)
     rng = random.Random(2)
