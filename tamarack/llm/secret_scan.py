@@ -8,11 +8,14 @@ with the regular expression.  A rule without mandatory trigrams scans every text
 
 Spans are half-open and in code points; those of one rule are leftmost and don't overlap.  Null and empty texts have
 none.  Postings of rows with the same id (or null ids) are united, which only adds candidates.  Repeated rows each get a
-row.  Other columns are ignored.
+row.  Other columns are ignored; an empty table gives no rows.  A text may hold any number of spans: running sums and
+maxima are worked out in chunks of the root of their number, and texts are cut in blocks, so no step copies what all
+steps before it made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as K
@@ -167,29 +170,57 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     return sets.select("doc_id", F.array_compact(F.array(*named)).alias("rules")).where(F.size("rules") > 0)
 
 
+_SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: a lambda's variable is bound to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results over an array that isn't empty of whole numbers from 0 up: a step is a sum or a maximum.
+
+    Chunks have the length of the root of the array's: results run within each, then over the last ones of the chunks.
+    """
+
+    def append(results: Column, x: Column) -> Column:
+        return F.concat(results, F.array(step(F.element_at(results, -1), x)))
+
+    def within(chunk: Column) -> Column:
+        return F.aggregate(F.slice(chunk, F.lit(2), F.size(chunk)), F.slice(chunk, 1, 1), append)
+
+    def over(chunks: Column) -> Column:
+        lasts = F.transform(chunks, lambda c: F.element_at(c, -1))
+        carried = F.aggregate(lasts, F.array(F.lit(0)), append)
+        return _let(carried, lambda before: F.flatten(F.transform(chunks, lambda c, k: F.transform(c, lambda x: step(F.get(before, k), x)))))
+
+    width = F.greatest(F.lit(1), F.sqrt(F.size(values)).cast("int"))
+    begins = F.sequence(F.lit(0), F.size(values) - 1, width)
+    return _let(F.transform(begins, lambda i: within(F.slice(values, i + 1, width))), over)
+
+
 def _spans(text: str, rule: Rule, order: int) -> Column:
     """Sorted (start, order, end, kind) of a rule's matches in a text column: the parts between matches give their places."""
     whole = F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(0))
-    kind = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
     def located(found: Column) -> Column:
         between = F.split(F.col(text), rule.pattern, -1)
         groups = F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
         rows = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"), groups.alias("g"))
+        sizes = F.transform(rows, lambda r: F.struct((F.length(r["b"]) + F.length(r["m"])).alias("step"), F.length(r["m"]).alias("n"), (F.length(r["g"]) >= rule.least).alias("kept")))
+
+        def placed(steps: Column) -> Column:
+            def span(s: Column, i: Column, ends: Column) -> Column:
+                end = F.get(ends, i)
+                return F.when(s["kept"], F.struct((end - s["n"]).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind")))
 
-        def step(state: Column, row: Column) -> Column:
-            start = state["at"] + F.length(row["b"])
-            end = start + F.length(row["m"])
-            span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-            kept = F.when(F.length(row["g"]) >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-            return F.struct(end.alias("at"), kept.cast(kind).alias("spans"))
+            ends = _running(F.transform(steps, lambda s: s["step"]), lambda a, b: a + b)
+            return F.array_compact(_let(ends, lambda e: F.transform(steps, lambda s, i: span(s, i, e))))
 
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-        return F.aggregate(rows, begin, step, lambda state: state["spans"])
+        return _let(sizes, placed).cast(_SPANS)
 
-    nothing = F.array().cast(kind)
-    # transform over a one-element array binds the matches to a variable: found once, placed only where there are any
-    return F.get(F.transform(F.array(whole), lambda found: F.when(F.size(found) > 0, located(found)).otherwise(nothing)), F.lit(0))
+    return _let(whole, lambda found: F.when(F.size(found) > 0, located(found)).otherwise(F.array().cast(_SPANS)))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -198,15 +229,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     extra = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("no_text"), *extra)
     if queries:
-        found = candidates(docs, rules, id_col, text_col).withColumnRenamed("doc_id", "c_id").hint("shuffle_hash")
+        found = candidates(docs, rules, id_col, text_col).withColumnRenamed("doc_id", "c_id")
         rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("c_id")), "left").drop("c_id")
     else:
         rows = rows.withColumn("rules", F.array().cast("array<string>"))
-    kind = "array<struct<start:int,ord:int,end:int,kind:string>>"
     parts = []
     for i, r in enumerate(rules):
         spans = _spans("text", r, i)
-        parts.append(F.when(F.array_contains("rules", r.kind), spans).otherwise(F.array().cast(kind)) if r.kind in queries else spans)
+        parts.append(F.when(F.array_contains("rules", r.kind), spans).otherwise(F.array().cast(_SPANS)) if r.kind in queries else spans)
     named = [F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]
     return rows.select("doc_id", F.when(~F.col("no_text"), F.col("text")).alias("text"), *named, F.array_sort(F.concat(*parts)).alias("spans"))
 
@@ -227,14 +257,35 @@ def report(scanned: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
+#: Code points of the blocks that a text is cut in to read parts of it.
+_BLOCK = 4096
+
+
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text cut in blocks."""
+
+    def of_block(k: Column) -> Column:
+        begin = F.greatest(start - k * _BLOCK, F.lit(0))
+        return F.substring(F.get(blocks, k), begin + 1, F.least(end - k * _BLOCK, F.lit(_BLOCK)) - begin)
+
+    numbers = F.sequence(F.floor(start / _BLOCK).cast("int"), F.floor((end - 1) / _BLOCK).cast("int"))
+    return F.when(start < end, F.array_join(F.transform(numbers, of_block), "")).otherwise("")
+
+
 def redacted(mark: str = "[SECRET]") -> Column:
     """The text of scan()'s rows with each stretch of overlapping spans replaced by a mark; null stays null."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        between = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], between, F.lit(mark))).otherwise(state["out"]).alias("out"))
+    def cut(ends: Column) -> Column:
+        """ends: the farthest end of the spans up to each one."""
+
+        def fresh(i: Column) -> Column:
+            return (i == 0) | (F.get(F.col("spans"), i)["start"] >= F.get(ends, i - 1))
+
+        firsts = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), fresh)
+        between = F.transform(firsts, lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)).alias("a"), F.get(F.col("spans"), i)["start"].alias("b")))
+        last = F.array(F.struct(F.element_at(ends, -1).alias("a"), F.length("text").alias("b")))
+        blocks = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+        return _let(blocks, lambda held: F.array_join(F.transform(F.concat(between, last), lambda g: _part(held, g["a"], g["b"])), mark))
 
-    cut = F.aggregate("spans", begin, step, lambda state: F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text"))))
-    return F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
+    farthest = _running(F.transform("spans", lambda s: s["end"]), F.greatest)
+    return F.when(F.size("spans") > 0, _let(farthest, cut)).otherwise(F.col("text"))
