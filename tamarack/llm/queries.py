@@ -52,9 +52,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns, the shards that the splitting tree deals the document to, one for each time it is taken."""
     placed = mixing.placed(table(spark, sf_dir, "documents"))
     taken = F.col("__size") * F.size("__places")
-    return placed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
+    shards = F.array_join(F.transform("__places", lambda p: p["shard"].cast("string")), ",")
+    return placed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"), shards.alias("shards"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
