@@ -55,6 +55,20 @@ def tidied(run):
     return tidy
 
 
+def long_id(docs: DataFrame, id_col: str) -> Column:
+    """The id column as a long; ids have to be whole numbers."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"ids of {id_col} are {kind}, not whole numbers")
+    return F.col(id_col).cast("long")
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where docs has such columns."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for x in (n + "_" * i for i in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
+
+
 def remove_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the ids in gone, and with one row of each id that is left; rows of null ids stay.
 
@@ -63,7 +77,8 @@ def remove_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_c
     """
     left = docs.join(gone.select(F.col(id_col)).distinct(), id_col, "left_anti")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return left.withColumn("__row", first).where((F.col("__row") == 1) | F.col(id_col).isNull()).drop("__row").select(*docs.columns)
+    (row,) = unused(docs, "__row")
+    return left.withColumn(row, first).where((F.col(row) == 1) | F.col(id_col).isNull()).drop(row).select(*docs.columns)
 
 
 def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,26 +87,38 @@ def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null ids stay null.  Tables of unique ids cost one aggregate of ids and hashes; only others are joined.
     """
     digest = F.xxhash64(F.col(text_col))
-    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("s_id")).agg(F.min(digest).alias("s_first"), F.max(digest).alias("s_last"))
-    several = materialize(several.where("s_first <> s_last").select("s_id", "s_first"), "ids-of-several-texts")
+    s_id, s_first = unused(docs, "s_id", "s_first")
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(s_id)).agg(F.min(digest).alias(s_first), F.max(digest).alias("s_last"))
+    several = materialize(several.where(F.col(s_first) != F.col("s_last")).select(s_id, s_first), "ids-of-several-texts")
     if not several.limit(1).count():
         return docs.withColumn("__node", F.col(id_col))
     further = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
-    node = F.when(F.col("s_first").isNull() | (F.col("s_first") == digest), F.col(id_col)).otherwise(further)
-    return docs.join(several, F.col(id_col) == F.col("s_id"), "left").withColumn("__node", node).drop("s_id", "s_first")
+    node = F.when(F.col(s_first).isNull() | (F.col(s_first) == digest), F.col(id_col)).otherwise(further)
+    return docs.join(several, F.col(id_col) == F.col(s_id), "left").withColumn("__node", node).drop(s_id, s_first)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of input that a range of ids holds at most on average, and ranges that a plan lists at most.
+RANGE_BYTES, MAX_RANGES = 256 << 20, 20_000
+
+
+def range_count(rows: DataFrame) -> int:
+    """As many ranges as shuffle partitions, or more where Spark's estimate of the bytes of rows asks for it."""
+    estimate = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = estimate < 1 << 60  # without statistics the estimate is a huge number
+    return max(shuffle_partitions(rows.sparkSession), min(MAX_RANGES, -(-estimate // RANGE_BYTES)) if known else 1)
+
+
 def range_cuts(rows: DataFrame, key: str) -> list[int]:
-    """Ascending values of a long column that cut its rows into about equal ranges, one a partition; the last is its maximum.
+    """Ascending values of a long column that cut its rows into about equal ranges, range_count() of them; the last is its maximum.
 
     Only the column is read, and percentile_approx summarises it; each cut is a value that occurs.  Null counts as the
     smallest long.
     """
-    n = shuffle_partitions(rows.sparkSession)
+    n = range_count(rows)
     value = F.coalesce(F.col(key), F.lit(-(2**63)))
     found = rows.agg(F.percentile_approx(value, [k / n for k in range(1, n)] + [1.0], 10 * n).alias("c"), F.max(value).alias("m")).first()
     return sorted({*(found.c or ()), *([] if found.m is None else [found.m])})
@@ -141,14 +168,15 @@ def lists_of(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def by_bytes(items: list[str], limit: int) -> list[list[str]]:
-    """Deal items into consecutive batches of about equal size in bytes, at most limit each (or one long item)."""
+    """Deal items into consecutive batches of about equal size in bytes: as many as keep the mean at the limit or below."""
+    sizes = [(len(x) if x.isascii() else len(x.encode())) + 16 for x in items]
+    share = sum(sizes) / max(1, -(-sum(sizes) // limit))
     out: list[list[str]] = []
-    room = 0
-    for x in items:
-        n = len(x) + 16
-        if n > room or not out:
+    upto = 0
+    for x, n in zip(items, sizes, strict=True):
+        # the batch that holds the item's middle
+        if not out or upto + n / 2 > share * len(out):
             out.append([])
-            room = limit
         out[-1].append(x)
-        room -= n
+        upto += n
     return out

@@ -8,7 +8,8 @@ cuts near it and no others.  A fingerprint is the sorted set of its chunks, 16 h
 
 Containment of A in B is the length of A's distinct chunks that B has too over the length of all of A's distinct
 chunks.  A null or empty text has the empty fingerprint: containment 1 in an empty one, 0 in others.  Equal texts have
-equal fingerprints; texts of under ``MIN`` bytes are one chunk.
+equal fingerprints; texts of under ``MIN`` bytes are one chunk.  Repeated rows each get a row; other columns are ignored;
+an empty table gives no rows.  Ids that are put in order are whole numbers; other types raise a TypeError.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import binary_texts, cuts_array, joined, prepare, range_cuts, range_of
+from tamarack.llm.common import binary_texts, cuts_array, joined, long_id, prepare, range_cuts, range_of
 
 MIN, NORMAL, MAX = 16, 48, 256
 #: Bits 12 to 15 of the gear hash for the common mask (1 in 16), bits 9 to 15 for the rare one (1 in 128).
@@ -125,7 +126,7 @@ def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     so the first document of each range is known before the one shuffle of the texts.  After the smallest id comes the
     largest.  Null ids count as the smallest; of equal ids the smaller text is first.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(long_id(docs, id_col), F.lit(-(2**63))).alias("key"), long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cuts = range_cuts(rows, "key")
     rows = rows.withColumn("range", range_of("key", cuts))
     first = F.expr(f"coalesce(get({cuts_array(cuts)}, range) = key, false)")

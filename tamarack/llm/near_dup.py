@@ -17,7 +17,8 @@
 Links, components and sets stay distributed; intermediate tables go to the shared folder.  A text with fewer words than
 a shingle has its whole sequence as its one shingle; one without words (or null) has none and is linked with nothing.
 Rows that share a doc_id but not a text are judged each by its own text; classes with the same smallest id are one
-node.  Null ids are linked with nothing and kept.
+node.  Null ids are linked with nothing, have no component and are kept.  Ids are whole numbers; other types raise a
+TypeError.  Repeated rows each get a row; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import binary_texts, materialize, prepare, shuffle_partitions, tidied
+from tamarack.llm.common import binary_texts, long_id, materialize, prepare, shuffle_partitions, tidied
 
 SLOTS, WIDTH = 64, 4
 CHUNKS = SLOTS // WIDTH
@@ -238,7 +239,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: percent is the least Jaccard similarity of a link."""
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     by_id = rows.withColumnRenamed("doc_id", "id")
     profiles = materialize(rows.mapInArrow(tidied(_profile(words)), "doc_id long, n long, h1 long, h2 long, sig binary"), "profiles")
     linkable = profiles.where(F.col("n").cast("boolean") & F.col("doc_id").isNotNull())
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     keys = classes.select("id", "sig").mapInArrow(tidied(_index), "key long, id long")
     met = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
-    buckets = materialize(keys.join(met.hint("shuffle_hash"), "key"), "buckets")
+    buckets = materialize(keys.join(met, "key"), "buckets")
 
     star = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(traits.select(F.col("id").alias("a"), F.struct("id", "n", "s1", "s2", "odd").alias("y")), "a").join(traits.select(F.col("id").alias("b"), F.struct("id", "n", "s1", "s2", "odd").alias("x")), "b")
@@ -276,5 +277,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     shared = classes.where("members > 1").select("h1", "h2", "n", F.col("id").alias("first"))
     member = profiles.select("doc_id", "n", "h1", "h2").join(shared, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("id"))
-    named = member.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id"))
+    named = member.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
