@@ -9,14 +9,17 @@ Columns of a store: ``doc_id``, ``part`` (number of the range), ``local_start``
 only the totals of the ranges are gathered for that, so no window ever runs over the documents.
 
 Null or empty texts hold the end id alone.  Null doc_ids come first.  Repeated rows are kept, ties in doc_id are ordered
-by text.  An empty table gives an empty store.  Other columns are ignored.
+by text.  An empty table gives an empty store.  Other columns are ignored.  Ids are whole numbers; other types raise a
+TypeError.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import lists_of, prepare, range_cuts, range_of, texts
-from tamarack.llm.pieces import PieceCache, byte_level_pieces, encode_pieces
+from tamarack.llm.bpe import byte_symbols
+from tamarack.llm.common import by_bytes, lists_of, long_id, prepare, range_cuts, range_of
+from tamarack.llm.segments import SegmentIds
 
+#: Bytes of text given to the library at once.
+ENCODE_BYTES = 1 << 20
 STORE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -42,44 +48,67 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def byte_level_line(tokenizer) -> int:
-    (line,) = tokenizer.encode("\n", add_special_tokens=False).ids
-    return line
+#: Letters up to U+024F but for three: Unicode's versions agree on them, and each has one letter as its lower case.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+#: A segment of one word with marks behind it: patterns of both layouts take all the letters, then all the marks.
+_SIMPLE = re.compile(rf"(\n?)( ?)([{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
 
 
-@functools.lru_cache(maxsize=4)
-def _piece_ids(path: str) -> PieceCache:
-    """Ids of pieces that follow a space, as bytes."""
-    tokenizer = load_tokenizer(path)
-    line = byte_level_line(tokenizer)
-    return PieceCache(lambda pieces: [x.tobytes() for x in encode_pieces(tokenizer, [" " + x for x in pieces], line)])
+def segment_encoder(tokenizer, lower: bool = False) -> Callable[[list[str]], tuple[list[int], list[int]]]:
+    """The library's ids of segments, and how many each has: the words of simple ones go to its model as they are.
 
+    lower: for the layout that drops white space and lower-cases; else for byte-level words.
+    """
+    model, symbols = tokenizer.model, byte_symbols()
+    ascii_symbols = {i: symbols[i] for i in range(128)}
+
+    @functools.lru_cache(maxsize=4096)
+    def whole(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids if text else []
+
+    def of_word(word: str) -> list[int]:
+        shown = word.translate(ascii_symbols) if word.isascii() else "".join([symbols[b] for b in word.encode()])
+        return [x.id for x in model.tokenize(shown)]
+
+    def encode(segments: list[str]) -> tuple[list[int], list[int]]:
+        simple = [m if m and not (m[1] and m[2]) and "<" not in m[4] else None for m in map(_SIMPLE.fullmatch, segments)]
+        other = [x for x, m in zip(segments, simple, strict=True) if m is None]
+        coded = iter([e for part in by_bytes(other, ENCODE_BYTES) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        ids: list[int] = []
+        ends = []
+        for m in simple:
+            if m is None:
+                ids += next(coded).ids
+            elif lower:
+                ids += of_word(m[3].lower())
+                ids += whole(m[4])
+            else:
+                ids += whole(m[1])
+                ids += of_word(m[2] + m[3])
+                ids += whole(m[4])
+            ends.append(len(ids))
+        return ids, np.diff(ends, prepend=0)
+
+    return encode
 
-def encode_bytes(items: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers.
 
-    A text is cut at single spaces between two other characters, where byte-level pre-tokenization always cuts; the
-    library encodes each distinct piece of a batch once, and frequent ones once per worker.
-    """
-    cut = [byte_level_pieces(x) for x in items]
-    first = encode_pieces(load_tokenizer(path), [x[0] for x in cut])
-    rest = _piece_ids(path).values_of([x[1:] for x in cut])
-    return [a.tobytes() + b"".join(b) for a, b in zip(first, rest, strict=True)]
+@functools.lru_cache(maxsize=4)
+def segment_ids(path: str) -> SegmentIds:
+    """Ids of texts for a byte-level tokenizer's file; the library encodes each distinct segment."""
+    return SegmentIds(segment_encoder(load_tokenizer(path)))
 
 
 def encode_documents(ordered: DataFrame, path: str, end_id: int) -> DataFrame:
     """Rows of STORE_SCHEMA from (doc_id, text), in the order of each partition's rows."""
 
     def run(batches):
-        part, start, end = TaskContext.get().partitionId(), 0, np.uint32(end_id).tobytes()
+        part, start, segments = TaskContext.get().partitionId(), 0, segment_ids(path)
         for batch in batches:
-            ids = [x + end for x in encode_bytes(texts(batch.column("text")), path)]
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
+            values, counts = segments.ids_of(batch.column("text"), end_id)
             local = start + np.cumsum(counts) - counts
             start += int(counts.sum())
-            values = np.frombuffer(b"".join(ids), "<i4")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(local), pa.array(counts), lists_of(values, counts)],
+                [batch.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(local), pa.array(counts), lists_of(values, counts)],
                 names=["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
 
@@ -89,7 +118,7 @@ def encode_documents(ordered: DataFrame, path: str, end_id: int) -> DataFrame:
 def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, bloom_fpp: float = 0.01, compress: str = "zstd") -> None:
     """Encode docs and write them to ORC files in ascending order of their ids, each followed by end_id."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cuts = range_cuts(rows, "doc_id")
     dealt = rows.repartitionById(max(1, len(cuts)), range_of("doc_id", cuts).cast("int"))
     ordered = dealt.sortWithinPartitions("doc_id", "text")
