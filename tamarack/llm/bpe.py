@@ -14,7 +14,10 @@ Unicode's tables differ between versions, so normalizing, lower-casing and cutti
 library's own.  Pieces with a character outside ``settled()``, whose properties have stayed the same, are normalized and
 cut into words by the library; their words are then encoded like all others.
 
-Null and empty texts have no ids.  Words of any length are handled: exact merging uses a heap.
+All three steps run over the new words of a batch at once, in NumPy: greedy matching walks a trie in step, and merging does
+one merge of each word a round.  Words of over ``LONG`` bytes are handled one by one; their merging uses a heap.
+
+Null and empty texts have no ids.  Repeated rows each get a row; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import lists_of, prepare, texts, tidied
-from tamarack.llm.pieces import PieceCache, byte_level_pieces, spaced_pieces
+from tamarack.llm.common import lists_of, prepare, tidied
+from tamarack.llm.segments import SegmentIds, spaced, tiling
 
 _NEVER = np.iinfo(np.int64).max
 #: The end of a word inside proposals; no byte is written so.
 _END = "\0"
+#: The same in the trie, whose other symbols are bytes.
+_STOP = 256
+#: Bytes of a word up to which it is encoded together with others.
+LONG = 64
 #: Fixed value: the pattern of byte-level pre-tokenizers that use their own.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: Unicode's white space, which is what \s means to the library.
@@ -52,6 +59,41 @@ def byte_symbols() -> list[str]:
     return [chr(x if x in shown else next(spare)) for x in range(256)]
 
 
+class Lookup:
+    """A map from whole numbers to whole numbers from 0 up, asked for many keys at once: open addressing in arrays."""
+
+    _ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            take = free[first]
+            self.keys[slot[take]], self.values[slot[take]] = keys[take], values[take]
+            left = np.ones(len(keys), bool)
+            left[take] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self._ODD) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        slot = self._slot(keys)
+        held, out = self.keys[slot], self.values[slot]
+        at = np.flatnonzero((held != keys) & (held >= 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & self.mask
+            held = self.keys[slot[at]]
+            out[at] = self.values[slot[at]]
+            at = at[(held != keys[at]) & (held >= 0)]
+        return out
+
+
 @functools.cache
 def settled() -> frozenset[str]:
     """Characters that had their present category in Unicode 3.2 already, as had what they become in NFC and lower case."""
@@ -87,14 +129,12 @@ class BpeModel:
         self._read_text_rules(spec)
         self.unsettled = outside(settled())
         self.library = _library(spec)
+        self.symbols = byte_symbols()
+        self.bytes_of = {ord(s): b for b, s in enumerate(self.symbols)}
         self._read_merges(model["merges"])
         self.decoder = (spec.get("decoder") or {}).get("type")
         if self.decoder not in (None, "ByteLevel"):
             raise ValueError(f"unsupported decoder {self.decoder}")
-        self.symbols = byte_symbols()
-        self.bytes_of = {ord(s): b for b, s in enumerate(self.symbols)}
-        self.words = PieceCache(self._word_bytes, limit=100_000)
-        self.tested: dict[int, bool] = {}
 
     @classmethod
     @functools.lru_cache(maxsize=4)
@@ -115,13 +155,14 @@ class BpeModel:
         if last["type"] != "ByteLevel" or last["add_prefix_space"]:
             raise ValueError("only byte-level words are supported")
         if len(parts) == 1 and last["use_regex"]:
-            pattern, self.cut = BYTE_LEVEL_PATTERN, byte_level_pieces
+            pattern, cut = BYTE_LEVEL_PATTERN, tiling
         elif len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not last["use_regex"]:
-            pattern, self.cut = parts[0]["pattern"]["Regex"], spaced_pieces
+            pattern, cut = parts[0]["pattern"]["Regex"], spaced
         else:
             raise ValueError("unsupported pre-tokenizers")
         pattern = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
         self.pattern = regex.compile(pattern)
+        self.segments = SegmentIds(self._encode_segments, cut)
 
     def _read_merges(self, merges: list) -> None:
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in merges]
@@ -142,10 +183,10 @@ class BpeModel:
         made = rank >= 0
         self.left, self.right, self.rank = left, right, rank
         self.ordered = len(keys) == int(made.sum()) and bool((rank[left[made]] < rank[made]).all() and (rank[right[made]] < rank[made]).all())
-        order = np.argsort(np.array(keys, np.int64))
-        self.pair_keys = np.append(np.array(keys, np.int64)[order], _NEVER)
-        self.pair_ranks = np.append(np.array(ranks, np.int64)[order], _NEVER)
+        self.pairs = Lookup(np.array(keys, np.int64), np.array(ranks, np.int64))
+        self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
         self._find_reachable()
+        self._plant()
 
     def _find_reachable(self) -> None:
         """Tokens that are their own encoding: both parts are, and nothing else merges across them first."""
@@ -165,6 +206,26 @@ class BpeModel:
                 self.proposals[s[: -len(self.suffix)] + _END if ends else s] = i
         self.longest = max(map(len, self.proposals), default=1)
 
+    def _plant(self) -> None:
+        """The trie of proposals, its nodes' tokens, and the ids of single bytes within and at the end of a word."""
+        children: dict[int, int] = {}
+        tokens = [-1]
+        for text, token in self.proposals.items():
+            node = 0
+            for c in text:
+                key = node * (_STOP + 1) + (_STOP if c == _END else self.bytes_of.get(ord(c), -1))
+                node = children.setdefault(key, len(tokens))
+                if node == len(tokens):
+                    tokens.append(-1)
+            tokens[node] = token
+        self.children = Lookup(np.array(list(children), np.int64), np.array(list(children.values()), np.int64))
+        self.token_of = np.array(tokens, np.int64)
+        self.single, self.single_last = (np.array([self.vocab.get(c + end, -1) for c in self.symbols], np.int64) for end in ("", self.suffix))
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        rank = self.pairs.get(a * self.n_ids + b)
+        return np.where(rank < 0, _NEVER, rank)
+
     def compatible(self, a: np.ndarray, b: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens side by side: does no merge ever join what they meet in?  own: a merge of the two themselves, of that rank, is allowed."""
         x, y = a.astype(np.int64), b.astype(np.int64)
@@ -174,9 +235,7 @@ class BpeModel:
         at = np.arange(len(x))
         while len(at):
             u, v = x[at], y[at]
-            key = u * self.n_ids + v
-            place = np.searchsorted(self.pair_keys, key)
-            merge = np.where(self.pair_keys[place] == key, self.pair_ranks[place], _NEVER)
+            merge = self._ranks(u, v)
             bad = (merge < gone_x[at]) & (merge <= gone_y[at]) & (merge < _NEVER)
             fine[at[bad]] = False
             ru, rv = self.rank[u], self.rank[v]
@@ -228,30 +287,110 @@ class BpeModel:
                     heapq.heappush(heap, (hit[0], k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of words written in byte symbols: speculate, verify all adjacent pairs, merge the rest."""
-        if not self.ordered:
-            return [self.merge(x) for x in words]
-        proposed = [self._propose(x) for x in words]
-        flat = np.array([y for x in proposed if x for y in x], np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(x or ()) for x in proposed])
-        side = owner[:-1] == owner[1:]
-        pairs = flat[:-1][side] * self.n_ids + flat[1:][side]
-        wrong = np.zeros(len(words), bool)
-        wrong[[i for i, x in enumerate(proposed) if x is None]] = True
-        if len(pairs):
-            distinct, which = np.unique(pairs, return_inverse=True)
+    def _propose_all(self, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of many words in step: tokens at the places where they begin (else -1), and words without a proposal."""
+        tokens, none = np.full(len(symbols), -1, np.int64), np.zeros(len(begins), bool)
+        word, at = np.arange(len(begins)), begins
+        while len(word):
+            best, to, end = np.full(len(word), -1, np.int64), at.copy(), ends[word]
+            walk, place, node = np.arange(len(word)), at, np.zeros(len(word), np.int64)
+            while len(walk):
+                node = self.children.get(node * (_STOP + 1) + symbols[place])
+                on = node >= 0
+                walk, place, node = walk[on], place[on] + 1, node[on]
+                token, left = self.token_of[node], end[walk] - place
+                fits = (token >= 0) & (left != 1) if self.suffix else token >= 0
+                best[walk[fits]], to[walk[fits]] = token[fits], place[fits]
+                on = left > 0
+                walk, place, node = walk[on], place[on], node[on]
+            found = best >= 0
+            none[word[~found]] = True
+            tokens[at[found]] = best[found]
+            on = found & (to < end)
+            word, at = word[on], to[on]
+        return tokens, none
+
+    def _merge_all(self, tokens: np.ndarray, place: np.ndarray, ids: np.ndarray, word: np.ndarray) -> None:
+        """Exact BPE of many words of single symbols, one merge of each a round; writes ids to tokens at their places."""
+        rank = np.full(len(ids), _NEVER)
+        beside = np.flatnonzero(word[:-1] == word[1:])
+        rank[beside] = self._ranks(ids[beside], ids[beside + 1])
+        while len(ids):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            count = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            least = np.repeat(least, count)
+            done = least == _NEVER
+            if done.any():
+                tokens[place[done]] = ids[done]
+                place, ids, word, rank, least = (x[~done] for x in (place, ids, word, rank, least))
+                if not len(ids):
+                    return
+            hit = np.flatnonzero(rank == least)
+            hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])]
+            ids[hit] = self.made[rank[hit]]
+            kept = np.ones(len(ids), bool)
+            kept[hit + 1] = False
+            place, ids, word, rank = (x[kept] for x in (place, ids, word, rank))
+            hit -= np.arange(len(hit))
+            before = hit[(hit > 0) & (word[hit - 1] == word[hit])] - 1
+            for i in (hit, before):
+                rank[i] = _NEVER
+                i = i[i < len(ids) - 1]
+                i = i[word[i] == word[i + 1]]
+                rank[i] = self._ranks(ids[i], ids[i + 1])
+
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of at most LONG bytes, one after the other, and how many each has: speculate, verify all adjacent pairs, merge the rest."""
+        stop = 1 if self.suffix else 0
+        sizes = np.array([len(x) for x in words], np.int64)
+        room = np.where(sizes > 0, sizes + stop, 0)
+        ends = np.cumsum(room)
+        begins = ends - room
+        owner = np.repeat(np.arange(len(words)), room)
+        last = np.arange(len(owner)) == ends[owner] - 1
+        inside = ~last if stop else np.ones(len(owner), bool)
+        symbols = np.full(len(owner), _STOP, np.int64)
+        symbols[inside] = np.frombuffer(b"".join(words), np.uint8)
+        if self.ordered:
+            full = np.flatnonzero(sizes)
+            tokens, none = self._propose_all(symbols, begins[full], ends[full])
+            wrong = np.zeros(len(words), bool)
+            wrong[full[none]] = True
+            at = np.flatnonzero(tokens >= 0)
+            side = np.flatnonzero(owner[at[:-1]] == owner[at[1:]])
+            distinct, which = np.unique(tokens[at[side]] * self.n_ids + tokens[at[side + 1]], return_inverse=True)
             fine = self.compatible(distinct // self.n_ids, distinct % self.n_ids)
-            wrong[owner[:-1][side][~fine[which]]] = True
-        return [self.merge(w) if bad else p for w, p, bad in zip(words, proposed, wrong.tolist(), strict=True)]
-
-    def _word_bytes(self, words: list[str]) -> list[bytes]:
-        """The ids of plain words as little-endian 32-bit integers, which take a fraction of a list's memory."""
-        table = self.symbols
-        ids = self.encode_words(["".join([table[b] for b in x.encode()]) for x in words])
-        flat = np.array([y for x in ids for y in x], "<i4").tobytes()
-        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ids else []
+            wrong[owner[at[side]][~fine[which]]] = True
+        else:
+            tokens, wrong = np.full(len(owner), -1, np.int64), np.ones(len(words), bool)
+        rest = wrong[owner]
+        tokens[rest] = -1
+        place = np.flatnonzero(rest & inside)
+        ids = np.where(ends[owner[place]] - stop - 1 == place, self.single_last[symbols[place]], self.single[symbols[place]])
+        place, ids = place[ids >= 0], ids[ids >= 0]
+        self._merge_all(tokens, place, ids, owner[place])
+        found = tokens >= 0
+        return tokens[found], np.bincount(owner[found], minlength=len(words))
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        long = [i for i, x in enumerate(words) if len(x) > LONG]
+        flat, counts = self.encode_flat([b"" if len(x) > LONG else x for x in words])
+        if long:
+            before = np.cumsum(counts)
+            alone = [self.encode_long("".join([self.symbols[b] for b in words[i]])) for i in long]
+            flat = np.insert(flat, np.repeat(before[long], list(map(len, alone))), [y for x in alone for y in x])
+            counts[long] = list(map(len, alone))
+        return flat, counts
+
+    def encode_long(self, word: str) -> list[int]:
+        """The ids of one word written in byte symbols."""
+        proposed = self._propose(word) if self.ordered else None
+        if proposed is None:
+            return self.merge(word)
+        pairs = np.unique(np.array([proposed[:-1], proposed[1:]], np.int64), axis=1)
+        return proposed if self.compatible(*pairs).all() else self.merge(word)
 
     def normalize(self, text: str) -> str:
         if self.nfc and not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -263,22 +402,30 @@ class BpeModel:
     def _is_unsettled(self, text: str) -> bool:
         return not text.isascii() and self.unsettled.search(text) is not None
 
-    def pieces(self, text: str) -> list:
-        """The pieces of a text that can be encoded one by one: strings, and ids of added tokens."""
-        out: list = []
-        if self.added_pattern is not None and self.added_pattern.search(text):
-            for k, part in enumerate(self.added_pattern.split(text)):
-                out.extend([self.added[part]] if k % 2 else self._cut(part))
-            return out
-        return self._cut(text)
-
-    def _cut(self, text: str) -> list[str]:
-        """Pieces that are normalized, but for those with an unsettled character; no rule reaches across a cut."""
-        if self._is_unsettled(text):
-            pieces = [x if self._is_unsettled(x) else self.normalize(x) for x in self.cut(text)]
-        else:
-            pieces = self.cut(self.normalize(text))
-        return pieces if self.cut is spaced_pieces else [pieces[0], *[" " + x for x in pieces[1:]]]
+    def _words_of(self, segment: str) -> list[str]:
+        """The words of a segment without added tokens."""
+        return self._library_words(segment) if self._is_unsettled(segment) else self.pattern.findall(self.normalize(segment))
+
+    def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments, one after the other, and how many each has; added tokens are their own."""
+        number: dict[str, int] = {}
+        parts: list[list] = []
+        for x in segments:
+            if self.added_pattern is not None and "<" in x and self.added_pattern.search(x):
+                cut = self.added_pattern.split(x)
+                parts.append([w for k, y in enumerate(cut) for w in ([self.added[y]] if k % 2 else self._words_of(y))])
+            else:
+                parts.append(self._words_of(x))
+        place = np.fromiter((-1 - w if isinstance(w, int) else number.setdefault(w, len(number)) for x in parts for w in x), np.int64)
+        flat, counts = self.encode_words([w.encode() for w in number])
+        flat, counts = np.append(flat, list(self.added.values())), np.append(counts, np.ones(len(self.added), np.int64))
+        added = np.flatnonzero(place < 0)
+        place[added] = len(number) + np.array([list(self.added.values()).index(-1 - i) for i in place[added].tolist()], np.int64)
+        first, size = (np.cumsum(counts) - counts)[place], counts[place]
+        before = np.cumsum(size) - size
+        ids = flat[np.repeat(first - before, size) + np.arange(int(size.sum()))]
+        upto = np.append(0, np.cumsum(size))[np.cumsum([len(x) for x in parts])]
+        return ids, np.diff(upto, prepend=0)
 
     def _library_words(self, piece: str) -> list[str]:
         """The words that the library makes of a piece."""
@@ -287,20 +434,9 @@ class BpeModel:
         cut = self.library.pre_tokenizer.pre_tokenize_str(piece)
         return [bytes([self.bytes_of[ord(c)] for c in x]).decode() for x, _ in cut]
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        words = [self._library_words(x) if self._is_unsettled(x) else self.pattern.findall(x) for x in pieces]
-        return [b"".join(x) for x in self.words.values_of(words)]
-
-    def encode_bytes(self, items: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = [self.pieces(x) for x in items]
-        new = list({y for x in cut for y in x if not isinstance(y, int)})
-        ids: dict = dict(zip(new, self.encode_pieces(new), strict=True))
-        ids |= {i: np.array([i], "<i4").tobytes() for i in self.added.values()}
-        return [b"".join(map(ids.__getitem__, x)) for x in cut]
-
     def encode_batch(self, items: list[str]) -> list[list[int]]:
-        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_bytes(items)]
+        flat, counts = self.segments.ids_of(pa.array(items, pa.string()))
+        return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if items else []
 
     def decode(self, ids: list[int], skip_special_tokens: bool = False) -> str:
         skip = set(self.added.values()) if skip_special_tokens else ()
@@ -323,45 +459,14 @@ def _library(spec: dict):
     return Tokenizer.from_str(json.dumps(spec | {"model": model, "added_tokens": []}))
 
 
-@functools.lru_cache(maxsize=2)
-def _digester(path: str):
-    """Digests of texts, from what was kept of each piece: number of ids, ids as text, decoded text."""
-    model = BpeModel.from_file(path)
-    if model.decoder is not None:
-
-        def plain(items: list[str]):
-            for ids in model.encode_batch(items):
-                yield len(ids), " ".join(map(str, ids)), model.decode(ids)
-
-        return plain
-
-    def entry(ids: list[int]):
-        return len(ids), " ".join(map(str, ids)), model.decode(ids)
-
-    kept = PieceCache(lambda pieces: [entry(np.frombuffer(x, "<i4").tolist()) if x else () for x in model.encode_pieces(pieces)], limit=200_000)
-
-    def digest(items: list[str]):
-        cut = [model.pieces(x) for x in items]
-        has_added = [model.added_pattern is not None and model.added_pattern.search(x) is not None for x in items]
-        found = kept.values_of([[y for y in x if not isinstance(y, int)] if added else x for x, added in zip(cut, has_added, strict=True)])
-        for x, values, added in zip(cut, found, has_added, strict=True):
-            if added:
-                rest = iter(values)
-                values = [entry([y]) if isinstance(y, int) else next(rest) for y in x]
-            entries = [e for e in values if e]
-            yield sum([e[0] for e in entries]), " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries])
-
-    return digest
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text; no shuffle."""
 
     def run(batches):
         model = BpeModel.from_file(path)
         for batch in batches:
-            ids = model.encode_bytes(texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists_of(np.frombuffer(b"".join(ids), "<i4"), [len(x) // 4 for x in ids])], names=["doc_id", "ids"])
+            ids, counts = model.segments.ids_of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists_of(ids, counts)], names=["doc_id", "ids"])
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -384,14 +489,16 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text's ids and of their decoding."""
 
     def run(batches):
-        digest = _digester(path)
+        model = BpeModel.from_file(path)
+        number = [str(i) for i in range(model.n_ids)]
+        shown = [model.strings.get(i, "") for i in range(model.n_ids)]
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for count, a, b in digest(texts(batch.column("text"))):
-                n.append(count)
-                ids.append(hashlib.sha256(a.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            flat, counts = model.segments.ids_of(batch.column("text"))
+            parts = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if len(counts) else []
+            ids = [sha(" ".join([number[i] for i in x])) for x in parts]
+            decoded = [sha(" ".join([shown[i] for i in x]) if model.decoder is None else model.decode(x)) for x in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
