@@ -1,10 +1,12 @@
 """Token counts: batches encoded in Arrow functions that return lengths only.
 
-Texts are cut at safe boundaries (white space, for tokenizers that never join words across it), the distinct pieces of
-an Arrow batch are encoded by the library in sub-batches of equal size in bytes, and only lengths are kept.  A
-sentencepiece model may join across spaces, so its texts are encoded whole.
+Texts are cut at safe boundaries (white space, for the two layouts of text rules that never join words across it), the
+distinct segments of an Arrow batch are encoded by the library in sub-batches of equal size in bytes, and only lengths
+are kept.  A sentencepiece model, or a tokenizer of another layout, may join across spaces, so its texts are encoded
+whole.
 
-Null and empty texts have 0 bytes and 0 tokens.  Repeated rows each get a row.  Other columns are ignored.
+Null and empty texts have 0 bytes and 0 tokens.  Repeated rows each get a row; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,39 +19,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import by_bytes, prepare, texts
-from tamarack.llm.pieces import PieceCache, byte_level_pieces, encode_pieces, spaced_pieces
-from tamarack.llm.token_store import byte_level_line, load_tokenizer
-
-#: Bytes of text given to the library at once.
-ENCODE_BYTES = 1 << 20
+from tamarack.llm.segments import SegmentIds, spaced
+from tamarack.llm.token_store import ENCODE_BYTES, load_tokenizer, segment_encoder
 
 
 @functools.lru_cache(maxsize=4)
 def _counter(path: str):
-    """A function from texts to numbers of tokens."""
+    """A function from a column of texts to numbers of tokens."""
+
+    def whole(encode):
+        return lambda column: [len(y) for part in by_bytes(texts(column), ENCODE_BYTES) for y in encode(part)]
+
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda items: [len(y) for part in by_bytes(items, ENCODE_BYTES) for y in model.encode(part, num_threads=1)]
+        return whole(lambda part: model.encode(part, num_threads=1))
     tokenizer = load_tokenizer(path)
+    if _byte_level(tokenizer):
+        return SegmentIds(segment_encoder(tokenizer)).counts_of
+    if _drops_white_space(tokenizer):
+        return SegmentIds(segment_encoder(tokenizer, lower=True), spaced).counts_of
+    return whole(lambda part: tokenizer.encode_batch_fast(part, add_special_tokens=False))
 
-    byte_level = _byte_level(tokenizer)
-    before, line = (" ", byte_level_line(tokenizer)) if byte_level else ("", None)
-
-    def lengths(pieces: list[str]) -> list[int]:
-        return [len(y) for part in by_bytes(pieces, ENCODE_BYTES) for y in encode_pieces(tokenizer, [before + x for x in part], line)]
-
-    if not byte_level and not _drops_white_space(tokenizer):
-        return lengths
-    cut, cache = byte_level_pieces if byte_level else spaced_pieces, PieceCache(lengths)
-
-    def count(items: list[str]) -> list[int]:
-        pieces = [cut(x) for x in items]
-        first = [len(x) for x in encode_pieces(tokenizer, [x[0] for x in pieces])]
-        return [n + sum(x) for n, x in zip(first, cache.values_of([x[1:] for x in pieces]), strict=True)]
 
-    return count
+# The text rules of the layout that lower-cases and drops white space, as its file states them.
+LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 def _spec(tokenizer) -> dict:
@@ -69,7 +65,7 @@ def _drops_white_space(tokenizer) -> bool:
     """The other: the pre-tokenizer removes what a pattern without white space doesn't match."""
     spec = _spec(tokenizer)
     first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-    return first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s" in str(first["pattern"]) and _plain_added(spec)
+    return spec["normalizer"] == LOWERED and first == WORDS and _plain_added(spec)
 
 
 def _plain_added(spec: dict) -> bool:
@@ -83,8 +79,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def run(batches):
         count = _counter(path)
         for batch in batches:
-            items = texts(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(count(items), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(count(batch.column("text")), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
