@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import bpe, chat, fingerprints, mixing, near_dup, quality_model, repetition, secret_scan, token_count, token_store
 from tamarack.llm.common import prepare, shared_dir
+from tamarack.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def tokenizer(name: str) -> str:
@@ -93,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_store, op2_bpe, op3_fingerprints, op4_quality, op5_mixing, op6_chat, op7_secrets, op8_token_count, op9_near_dup, op10_quality_rules, pipeline)
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -224,8 +224,9 @@ def _spans(text: str, rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, keep..., spans): all spans of each text, by start, then in the order of the rules."""
+    """(doc_id, text, keep..., spans): all spans of each text, by start, then in the order of the rules; the three names win over columns to keep."""
     queries, _ = _needed(rules)
+    keep = tuple(c for c in keep if c not in ("doc_id", "text", "spans"))
     extra = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("no_text"), *extra)
     if queries:
@@ -238,7 +239,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         spans = _spans("text", r, i)
         parts.append(F.when(F.array_contains("rules", r.kind), spans).otherwise(F.array().cast(_SPANS)) if r.kind in queries else spans)
     named = [F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]
-    return rows.select("doc_id", F.when(~F.col("no_text"), F.col("text")).alias("text"), *named, F.array_sort(F.concat(*parts)).alias("spans"))
+    return rows.select("doc_id", F.when(~F.col("no_text"), F.col("text")).alias("text"), *named, F.sort_array(F.concat(*parts)).alias("spans"))
 
 
 def _written(spans: Column) -> Column:

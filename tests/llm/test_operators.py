@@ -9,12 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tamarack.llm import bpe, chat, fingerprints, mixing, near_dup, quality_model, repetition, secret_scan, token_count, token_store
-from tamarack.llm.pieces import byte_level_pieces, spaced_pieces
+from tamarack.llm import bpe, chat, fingerprints, mixing, near_dup, quality_model, repetition, secret_scan, segments, token_count, token_store
 from tamarack.runtime import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,14 +96,18 @@ def test_bpe_is_the_library(path):
     expected = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert mine.encode_batch(texts) == expected
     assert [mine.decode(x) for x in expected] == [library.decode(x, skip_special_tokens=False) for x in expected]
-    assert token_count._counter(path)(texts) == [len(x) for x in expected]
+    assert list(token_count._counter(path)(pa.array(texts))) == [len(x) for x in expected]
+    if path == BYTE:
+        flat, counts = token_store.segment_ids(path).ids_of(pa.array(texts), 0)
+        assert flat.tolist() == [y for x in expected for y in [*x, 0]] and counts.tolist() == [len(x) + 1 for x in expected]
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTE])
 def test_bpe_of_all_code_points(path):
     """Each code point alone, between letters and before a combining mark; then random strings of characters and marks."""
     library, mine = Tokenizer.from_file(path), bpe.BpeModel.from_file(path)
-    points = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    # for the byte-level file, planes with characters only
+    points = [chr(x) for x in range(0x110000 if path == WORDS else 0x20000) if not 0xD800 <= x < 0xE000]
     texts = [" ".join(f"{c} a{c}a {c}\u0301" for c in points[i : i + 512]) for i in range(0, len(points), 512)]
     rng = random.Random(5)
     low = [c for c in points if c < "\u3000" or "\ua000" < c < "\U00020000"]
@@ -117,14 +121,51 @@ def test_bpe_of_all_code_points(path):
 def test_bpe_merges_where_speculation_fails():
     model = bpe.BpeModel.from_file(WORDS)
     rng = random.Random(2)
-    words = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randint(1, 24))) for _ in range(4000)]
+    words = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randint(1, 24))) for _ in range(4000)] + ["", "ab" * 90, "z" * 200]
     exact = [model.merge(w) for w in words]
-    assert model.encode_words(words) == exact
+    flat, counts = model.encode_words([w.encode() for w in words])
+    assert flat.tolist() == [y for x in exact for y in x] and counts.tolist() == list(map(len, exact))
     assert 0 < sum(model._propose(w) != e for w, e in zip(words, exact, strict=True)) < len(words)
+    assert [model.encode_long(w) for w in words[-60:]] == exact[-60:]
 
 
-def test_pieces():
-    assert byte_level_pieces("a b\n c  d e") == ["a", "b\n c  d", "e"] and spaced_pieces("a\nb") == ["a", "b"]
+def test_lookup():
+    rng = np.random.default_rng(1)
+    keys = rng.choice(10**12, 5000, replace=False)
+    found = bpe.Lookup(keys, np.arange(5000))
+    asked = np.concatenate([keys, rng.integers(0, 10**12, 5000)])
+    known = {k: i for i, k in enumerate(keys.tolist())}
+    assert found.get(asked).tolist() == [known.get(k, -1) for k in asked.tolist()]
+
+
+def test_segments():
+    def cut(how, *texts):
+        whole = "".join(texts).encode()
+        ends = np.cumsum([len(x.encode()) for x in texts])
+        starts, stops = how(np.frombuffer(whole, np.uint8), np.append(0, ends[:-1]), ends)
+        return [whole[a:b].decode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+
+    assert cut(segments.tiling, "a b\n c  d e", "", " f\ng ", "\t h") == ["a", " b\n c  d", " e", " f", "\ng ", "\t h"]
+    assert cut(segments.spaced, "a b\n c  d", "", "e", " \tf ") == ["a", "b", "c", "d", "e", "\tf"]
+
+
+def test_segments_are_forgotten_and_found_again():
+    worked = []
+
+    def work_out(strings):
+        worked.extend(strings)
+        return [len(x) for x in strings], [1] * len(strings)
+
+    kept = segments.SegmentIds(work_out, segments.spaced, limit=100)
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [None, "", *(" ".join("x" * rng.randint(1, 90) + rng.choice("abc\0") * rng.randint(0, 3) for _ in range(rng.randint(0, 40))) for _ in range(10))]
+        flat, counts = kept.ids_of(pa.array(texts), end=-1)
+        assert flat.tolist() == [y for t in texts for y in [*map(len, (t or "").split(" ") if t else []), -1]]
+        assert kept.counts_of(pa.array(texts)[2:5]).tolist() == (counts[2:5] - 1).tolist()
+    assert len(worked) > len(set(worked))
+    empty = segments.SegmentIds(work_out)
+    assert empty.counts_of(pa.array([None, ""], pa.string())).tolist() == [0, 0] and len(empty.ids_of(pa.array([], pa.string()))[1]) == 0
 
 
 def test_bpe_and_counts_on_rows(docs, rows, nothing, odd):
