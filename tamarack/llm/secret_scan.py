@@ -195,9 +195,12 @@ def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column
         carried = F.aggregate(lasts, F.array(F.lit(0)), append)
         return _let(carried, lambda before: F.flatten(F.transform(chunks, lambda c, k: F.transform(c, lambda x: step(F.get(before, k), x)))))
 
-    width = F.greatest(F.lit(1), F.sqrt(F.size(values)).cast("int"))
-    begins = F.sequence(F.lit(0), F.size(values) - 1, width)
-    return _let(F.transform(begins, lambda i: within(F.slice(values, i + 1, width))), over)
+    def cut(held: Column) -> Column:
+        width = F.greatest(F.lit(1), F.sqrt(F.size(held)).cast("int"))
+        begins = F.sequence(F.lit(0), F.size(held) - 1, width)
+        return _let(F.transform(begins, lambda i: within(F.slice(held, i + 1, width))), over)
+
+    return _let(values, cut)
 
 
 def _spans(text: str, rule: Rule, order: int) -> Column:
