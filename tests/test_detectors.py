@@ -86,9 +86,43 @@ def test_hunt_queries(spark, demo):
     for q in queries:
         if q.dialect is hunt.Dialect.SPARK:
             spark.sql(q.query).collect()
-    nasty = "a\"b'c\\d*\n"
-    for d in hunt.Dialect:
-        assert "\n" not in hunt.escape(nasty, d)
+
+
+def _finding(predicate, subject, target=None, **more):
+    entity = lambda x: x and {"id": f"{x[0]}:{x[1]}", "type": x[0], "value": x[1]}
+    return {"id": "fnd_1", "predicate": predicate, "subject": entity(subject), "object": entity(target), "confidence": 0.9, "severity": "info"} | more
+
+
+def test_hunt_escapes():
+    nasty = "a\"b'c\\d*\x07\n"
+    assert {str(d): hunt.escape(nasty, d) for d in hunt.Dialect} == {
+        "sigma": "a\\\"b'c\\\\d*", "kql": "a\\\"b'c\\\\d*", "spl": "a\\\"b'c\\\\d\\*", "zeek": "a\\\"b'\\''c\\\\d*", "spark": "a\"b\\'c\\\\d*",
+    }
+
+
+def test_hunt_pages():
+    tunnel = {str(q.dialect): q.query for q in hunt.queries_for(_finding("tunnels_dns_over", ("ip", "10.0.0.1"), ("domain", "evil.example"), attack_techniques=["T1071.004"]))}
+    assert '    query|endswith: ".evil.example"\n  known:\n    src_ip: "10.0.0.1"\n  condition: selection and not known\nlevel: informational' in tunnel["sigma"] and "  - attack.t1071.004\n" in tunnel["sigma"]
+    assert '| where QueryName endswith ".evil.example"\n| where SourceIP != "10.0.0.1"' in tunnel["kql"] and 'index=dns query="*.evil.example" src_ip!="10.0.0.1"' in tunnel["spl"]
+    assert "WHERE endswith(lower(query), '.evil.example') AND src_ip <> '10.0.0.1'" in tunnel["spark"]
+    scan = {str(q.dialect): q.query for q in hunt.queries_for(_finding("scans", ("host", "ws1"), ("port", "445")))}
+    assert "dst_port: 445\n" in scan["sigma"] and "DestinationPort == 445\n" in scan["kql"] and "NetworkEvents" in scan["kql"] and '$2 == 445 && $1 != "ws1"' in scan["zeek"]
+    feed = hunt.queries_for(_finding("matches_threat_intel", ("ip", "203.0.113.5")))
+    assert len(feed) == 5 and all("!=" not in q.query and "<>" not in q.query for q in feed)
+    assert [q.dialect for q in hunt.queries_for(_finding("executes_rare_process", ("host", "ws1"), ("image", "a.exe")))] == ["sigma", "kql", "spl", "spark"]
+    assert hunt.queries_for(_finding("precedes", ("ip", "10.0.0.1"), ("ip", "10.0.0.2"))) == [] == hunt.queries_for(_finding("matches_threat_intel", ("file_hash", "ab")))
+    first, second = _finding("beacons_to", ("ip", "a"), ("ip", "b")), _finding("exfiltrates_to", ("ip", "a"), ("ip", "b"), id="fnd_0", confidence=0.5)
+    assert {q.finding_id for q in hunt.queries_for_incident({"findings": [second, first]})} == {"fnd_1"} and hunt.pivot_entities({"findings": [second, first]}) == [first["object"]]
+
+
+def test_zeek_search_runs_in_awk(tmp_path):
+    """The awk program of the Zeek dialect, with quotes of both kinds in the values, over a file in zeek-cut's form."""
+    import subprocess
+
+    (query,) = hunt.queries_for(_finding("tunnels_dns_over", ("ip", "10.0.0.1"), ("domain", "it's\"x.example")), (hunt.Dialect.ZEEK,))
+    awk = query.query.split("| ")[2].removesuffix(" \\\n  ")
+    rows = "10.0.0.1\ta.it's\"x.example\n10.0.0.2\tb.it's\"x.example\n10.0.0.3\tit's\"x.example\n"
+    assert subprocess.run(awk, shell=True, input=rows, capture_output=True, text=True, check=True).stdout == "10.0.0.2\n"
 
 
 def test_verifier(spark):
