@@ -75,19 +75,47 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"), number)
 
 
+def address_hex(address: Column) -> Column:
+    """An address of either version as hexadecimal digits, 8 or 32 of them, whatever its spelling; null if it isn't one."""
+    text = F.lower(F.trim(address))
+    number = ipv4_number(text)
+    # the last 32 bits of an IPv6 address may be dotted
+    tail = ipv4_number(F.regexp_extract(text, r":([0-9.]+)$", 1))
+    half = lambda shift: F.lower(F.hex(F.shiftright(tail, shift).bitwiseAND(0xFFFF)))
+    plain = F.when(tail.isNotNull(), F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), half(16), F.lit(":"), half(0))).otherwise(text)
+    group = r"[0-9a-f]{1,4}"
+    sides = F.split(plain, "::")
+    part = lambda i: F.when(F.get(sides, F.lit(i)) != "", F.split(F.get(sides, F.lit(i)), ":")).otherwise(F.array().cast("array<string>"))
+    padded = lambda i: F.array_join(F.transform(part(i), lambda g: F.lpad(g, 4, "0")), "")
+    n = F.size(part(0)) + F.size(part(1))
+    whole = plain.rlike(f"^{group}(:{group}){{7}}$")
+    short = plain.rlike(f"^({group}(:{group})*)?::({group}(:{group})*)?$") & (n <= 7)
+    six = F.when(whole, padded(0)).when(short, F.concat(padded(0), F.repeat(F.lit("0000"), 8 - n), padded(1)))
+    return F.when(number.isNotNull(), F.lpad(F.lower(F.hex(number)), 8, "0")).otherwise(six)
+
+
+def _prefix(digits: Column, bits: Column) -> Column:
+    """The first bits of hexadecimal digits: whole digits, then what is left as a number."""
+    left = bits % 4
+    digit = F.conv(F.substring(digits, F.floor(bits / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    rest = F.when(left > 0, F.floor(digit / F.pow(F.lit(2), 4 - left)).cast("int").cast("string")).otherwise("")
+    return F.concat(F.substring(digits, F.lit(1), F.floor(bits / 4).cast("int")), F.lit("+"), rest)
+
+
 def match_networks(addresses: DataFrame, networks: DataFrame, address: str = "address") -> DataFrame:
-    """(address, network): each distinct IPv4 address in the narrowest network that holds it.
+    """(address, network): each distinct address, of either version, in the narrowest network of its version that holds it.
 
-    Each address is masked once for every prefix length in use (33 at most) and equi-joined on (length, network).
+    Each address is cut once for every prefix length in use in its version (33 or 129 at most) and equi-joined on
+    (version, length, prefix).
     """
-    nets = networks.select("value").where(F.contains("value", F.lit("/")) & ~F.contains("value", F.lit(":"))).distinct()
-    nets = nets.withColumn("bits", F.substring_index("value", "/", -1).try_cast("int")).withColumn("base", ipv4_number(F.substring_index("value", "/", 1)))
-    nets = nets.withColumn("masked", F.expr("shiftright(base, 32 - bits)"))
-    lengths = nets.agg(F.collect_set("bits").alias("lengths"))  # at most 33 numbers
-    rows = addresses.select(address).distinct().withColumn("__n", ipv4_number(F.col(address))).where("__n is not null").join(F.broadcast(lengths))
-    rows = rows.select(address, "__n", F.explode("lengths").alias("bits")).withColumn("masked", F.expr("shiftright(__n, 32 - bits)"))
-    found = rows.join(small(nets.select("bits", "masked", "value")), ["bits", "masked"])
-    return found.groupBy(address).agg(F.max_by("value", "bits").alias("network"))
+    nets = networks.select("value").where(F.contains("value", F.lit("/"))).distinct()
+    nets = nets.withColumn("bits", F.substring_index("value", "/", -1).try_cast("int")).withColumn("base", address_hex(F.substring_index("value", "/", 1))).where("base is not null and bits is not null")
+    nets = nets.select("value", "bits", F.length("base").alias("digits"), _prefix(F.col("base"), F.col("bits")).alias("prefix")).where("bits between 0 and 4 * digits")
+    lengths = nets.groupBy("digits").agg(F.collect_set("bits").alias("lengths"))  # two rows at most
+    rows = addresses.select(address).distinct().withColumn("__h", address_hex(F.col(address))).where("__h is not null").withColumn("digits", F.length("__h")).join(F.broadcast(lengths), "digits")
+    rows = rows.select(address, "__h", "digits", F.explode("lengths").alias("bits")).withColumn("prefix", _prefix(F.col("__h"), F.col("bits")))
+    found = rows.join(small(nets), ["digits", "bits", "prefix"])
+    return found.groupBy(address).agg(F.max_by("value", F.struct("bits", "value")).alias("network"))
 
 
 def parents_of(name: Column) -> Column:

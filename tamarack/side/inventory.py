@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.exprs import day_of
 from tamarack.side.indicators import small
-from tamarack.side.text import canonical_ip, is_domain, read_date, read_lines
+from tamarack.side.text import canonical_ip, is_hostname, read_date, read_lines
 
 SCHEMA = (
     "address STRING, hostname STRING, register STRUCT<name: STRING, path: STRING, updated: DATE, reference: STRING, tlp: STRING, metadata: MAP<STRING, STRING>>, "
@@ -20,14 +20,14 @@ _REGISTER_KEYS = {"name", "updated", "date", "reference", "source", "tlp"}
 
 
 def read_inv_text(text: str, path: str) -> tuple[list[tuple], list[tuple[str, int, str]]]:
-    """Rows of SCHEMA and rejected lines of one file; a hostname is one label or more, and no address."""
+    """Rows of SCHEMA and rejected lines of one file."""
     header, rows, rejects = read_lines(text, 2)
     updated = read_date(header.get("updated") or header.get("date"))
     register = (header.get("name") or Path(path).stem, path, updated, header.get("reference") or header.get("source"), header.get("tlp"), {k: v for k, v in header.items() if k not in _REGISTER_KEYS})
     out, bad = [], [(path, n, line) for n, line in rejects]
     for number, (address, hostname), attributes, line in rows:
         ip = canonical_ip(address)
-        if ip is None or canonical_ip(hostname) or not is_domain(hostname, 1):
+        if ip is None or not is_hostname(hostname):
             bad.append((path, number, line))
             continue
         stated = read_date(attributes.get("stated") or attributes.get("first_seen")) or updated
