@@ -57,13 +57,16 @@ def load_connections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dns(spark: SparkSession, path: str) -> DataFrame:
-    """The textual query type and response code count where a record has their columns; lists of answers are joined by semicolons."""
-    names = _plain(schemas.DNS, _ENDS)
+    """The textual query type and response code count where a file has their columns; lists of answers are joined by semicolons."""
+    rows, names = _kind(spark, path, "dns"), _plain(schemas.DNS, _ENDS)
+    held = [F.bool_or(F.map_contains_key("m", f"{plain}_name")).alias(f"has_{plain}") for plain in ("qtype", "rcode")]
+    files = rows.groupBy(F.col("source_file").alias("__f")).agg(*held)
+    rows = rows.join(small(files), F.col("source_file") == F.col("__f"))
     for plain in ("qtype", "rcode"):
-        names[plain] = F.when(F.map_contains_key("m", f"{plain}_name"), _of(f"{plain}_name")).otherwise(_of(plain))
+        names[plain] = F.when(F.col(f"has_{plain}"), _of(f"{plain}_name")).otherwise(_of(plain))
     listed = F.from_json(_of("answers"), "array<string>")
     names["answers"] = F.when(F.col("is_json") & F.ltrim(_of("answers")).startswith("["), F.array_join(listed, ";")).otherwise(_of("answers"))
-    return _columns(_kind(spark, path, "dns"), names, schemas.DNS)
+    return _columns(rows, names, schemas.DNS)
 
 
 def load_ssl(spark: SparkSession, path: str) -> DataFrame:

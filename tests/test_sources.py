@@ -2,10 +2,8 @@
 
 import gzip
 
-import pytest
-
 from tamarack import cli, schemas, synth
-from tamarack.side.indicators import read_ioc_text
+from tamarack.side.indicators import match_networks, read_ioc_text
 from tamarack.side.inventory import read_inv_text
 from tamarack.side.text import Kind, classify, read_confidence, read_date
 from tamarack.sources import netflow, passivedns, sinks, suricata, sysmon, zeek
@@ -26,17 +24,45 @@ def test_zeek_tsv_json_gzip(spark, tmp_path):
     assert rows["C1"].source_file.endswith("/conn.log")
 
 
-def test_names_with_colons_are_refused_aloud(spark, tmp_path):
-    (tmp_path / "conn.10:00.log").write_text(HEAD)
-    with pytest.raises(ValueError, match="colon"):
-        zeek.load_connections(spark, str(tmp_path))
+def test_rotated_names_with_colons(spark, tmp_path):
+    text = HEAD + "".join(f"{i}.5\tC{i}\t10.0.0.1\t1\t10.0.0.2\t80\ttcp\t-\t12\n" for i in range(50))
+    for name, folder in (("conn.14:00-15:00.log.gz", "a"), ("conn.14h.log.gz", "b"), ("conn.10:00:00.log", "c")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+    found = [zeek.load_connections(spark, str(tmp_path / x)).orderBy("source_line").collect() for x in "abc"]
+    assert [[r.asDict() | {"source_file": ""} for r in x] for x in found[1:]] == [[r.asDict() | {"source_file": ""} for r in found[0]]] * 2
+    assert found[0][0].source_file == str(tmp_path / "a" / "conn.14:00-15:00.log.gz") and found[0][-1].source_line == 52
+    assert zeek.load_connections(spark, str(tmp_path)).count() == 150
+
+
+def test_networks_of_both_versions(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(2)
+    nets = ["10.0.0.0/8", "10.3.128.0/17", "10.7.9.1/32", "0.0.0.0/0", "2001:db8::/32", "2001:db8:0:8000::/49", "2001:db8:0:8000::/51", "2001:db8:7::1/128", "::/1", "fe80::/10", "::ffff:0:0/96"]
+    made = [f"10.{rng.choice([0, 3, 7])}.{rng.choice([1, 9, 200])}.{rng.choice([1, 2])}" for _ in range(40)]
+    made += [str(ipaddress.ip_address((0x20010DB8 << 96) + (rng.choice([0, 7]) << 80) + (rng.randrange(1 << 16) << 64) + rng.choice([0, 1]))) for _ in range(60)]
+    made += ["2001:DB8:0:8000:0:0:0:1", "::ffff:10.1.2.3", "::", "fe80::1", "febf:ffff::", "FEC0::1", "1::2::3", "1:2:3", "::1.2.3", "12345::", "10.0.0", ":::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "x", ""]
+    df = spark.createDataFrame([(x,) for x in made], "address string")
+    found = {r.address: r.network for r in match_networks(df, spark.createDataFrame([(x,) for x in [*nets, "bad/8", "1.2.3.4/40", "1.2.3.4"]], "value string")).collect()}
+    known = [ipaddress.ip_network(n) for n in nets]
+    for x in set(made):
+        try:
+            ip = ipaddress.ip_address(x)
+        except ValueError:
+            assert x not in found, x
+            continue
+        holds = [n for n in known if n.version == ip.version and ip in n]
+        assert (ipaddress.ip_network(found[x]) if x in found else None) == max(holds, key=lambda n: n.prefixlen, default=None), x
 
 
 def test_zeek_dns_and_ssl(spark, tmp_path):
     (tmp_path / "dns.log").write_text('{"ts": 1, "id.orig_h": "a", "query": "x.com", "qtype": 1, "qtype_name": "A", "rcode": 3, "rcode_name": "NXDOMAIN", "answers": ["1.1.1.1", "2.2.2.2"]}\n{"ts": 2, "id.orig_h": "a", "query": "y.com", "qtype": 16}\n')
+    (tmp_path / "dns.2.log").write_text('{"ts": 3, "id.orig_h": "a", "query": "z.com", "qtype": 16, "rcode": 0}\n')
     (tmp_path / "ssl.log").write_text("#fields\tts\tid.orig_h\testablished\n1\ta\tT\n2\ta\tF\n3\ta\t-\n")
     rows = zeek.load_dns(spark, str(tmp_path)).orderBy("ts").collect()
-    assert [(r.qtype, r.rcode, r.answers) for r in rows] == [("A", "NXDOMAIN", "1.1.1.1;2.2.2.2"), ("16", None, None)]
+    assert [(r.qtype, r.rcode, r.answers) for r in rows] == [("A", "NXDOMAIN", "1.1.1.1;2.2.2.2"), (None, None, None), ("16", "0", None)]
     assert [r.established for r in zeek.load_ssl(spark, str(tmp_path)).orderBy("ts").collect()] == [True, False, None]
     assert zeek.load_connections(spark, str(tmp_path)).count() == 0
 
@@ -87,6 +113,21 @@ def test_side_files():
     assert read_confidence("4.2") is None and read_date("yesterday") is None
 
 
+def test_hand_written_values():
+    day = "2024-01-05"
+    for text in (day, "2024/01/05", "05/01/2024", day + "T10:11:12Z", day + " 10:11:12", f" {day}z "):
+        assert str(read_date(text)) == day
+    assert [read_date(x) for x in (None, "", "5 Jan 2024", "13/13/2024", "2024-01-05 x")] == [None] * 5
+    assert [read_confidence(x) for x in ("0.85", "85%", " 85 % ", "0", "100%", "101%", "-1", "", None, "x%")] == [0.85, 0.85, 0.85, 0, 1, None, None, None, None, None]
+    known = {
+        "1.2.3.4": ("ip", "1.2.3.4"), "2001:DB8:0::1": ("ip", "2001:db8::1"), "10.0.0.9/8": ("cidr", "10.0.0.0/8"), "2001:db8::1/32": ("cidr", "2001:db8::/32"), "Ex.COM.": ("domain", "ex.com"),
+        "A" * 40: ("file_hash", "a" * 40), "https://x/y": ("url", "https://x/y"), "x.com/y": ("url", "x.com/y"),
+    }
+    for text, (kind, plain) in known.items():
+        assert classify(text) == (kind, plain)
+    assert [classify(x) for x in ("", "word", "a_b.com", "-a.com", "a/b", "x" * 64 + ".com", "a..b")] == [None] * 7
+
+
 def test_round_trip_and_cli(spark, tmp_path, capsys):
     rows, _ = synth.sweep_corpus()
     df = synth.frame(spark, rows, schemas.CONNECTIONS)
