@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.exprs import clip01, rarity, saturating, weighted_mean
 from tamarack.operators import kernels as K
 from tamarack.operators.common import top
+from tamarack.runtime import materialize
 
 WEIGHTS = {"egress_ratio": 0.30, "volume_deviation": 0.28, "destination_rarity": 0.24, "novelty": 0.18}
 #: Claims from weak to strong.
@@ -63,7 +64,7 @@ def score(conns: DataFrame, cfg: Config = Config()) -> DataFrame:
     """All measurements and the score of pairs that pass the volume gate; a baseline includes the judged pair."""
     if not REQUIRED <= set(conns.columns):
         raise ValueError(f"egress needs {sorted(REQUIRED)}")
-    measured = pairs(conns)
+    measured = materialize(pairs(conns), "egress-pairs")
     hosts = measured.groupBy("dst_ip").agg(F.count_distinct("src_ip").alias("contacting_hosts"))
     large = F.col("bytes") >= cfg.min_bytes
     rare = (F.col("bytes") >= cfg.rare_min_bytes) & (F.col("flows") >= cfg.rare_min_flows) & (F.col("contacting_hosts") <= cfg.rare_max_hosts)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.exprs import clip01, consonant_run, count_values, digit_ratio, label_and_suffix, rarity, registered_domain, saturating, weighted_mean
 from tamarack.operators.common import top, top_per
+from tamarack.runtime import materialize
 
 DGA_WEIGHTS = {"bigram_improbability": 0.56, "nxdomain_rate": 0.34, "structure": 0.10}
 TLS_WEIGHTS = {"fingerprint_rarity": 0.65, "estate_support": 0.35}
@@ -87,21 +88,27 @@ def labelled(dns: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).withColumn("suffix", suffix).where("label is not null")
 
 
-def families(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Queries, labels and response codes by (source, suffix), for those large enough."""
+def label_counts(rows: DataFrame) -> DataFrame:
+    """Queries and response codes by (source, suffix, label)."""
     nx = F.upper("rcode").isin("NXDOMAIN", "3")
-    out = rows.groupBy("src_ip", "suffix").agg(F.count("*").alias("family_queries"), F.count_distinct("label").alias("family_labels"), F.count("rcode").alias("known"), F.count(F.when(nx, 1)).alias("nx"))
+    return rows.groupBy("src_ip", "suffix", "label").agg(
+        F.count("*").alias("queries"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.bool_or(~nx), F.lit(False)).alias("answered"), F.count("rcode").alias("coded"), F.count(F.when(nx, 1)).alias("nx"),
+    )
+
+
+def families(counts: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Queries, labels and response codes by (source, suffix), for those large enough; from label_counts(), so distinct labels are plain rows."""
+    out = counts.groupBy("src_ip", "suffix").agg(F.sum("queries").alias("family_queries"), F.count("*").alias("family_labels"), F.sum("coded").alias("known"), F.sum("nx").alias("nx"))
     out = out.where((F.col("family_labels") >= cfg.min_family_labels) & (F.col("family_queries") >= cfg.min_family_queries))
     coverage = F.col("known") / F.col("family_queries")
     return out.withColumn("rcode_coverage", coverage).withColumn("nx_rate", F.when((F.col("known") > 0) & (coverage >= cfg.min_rcode_coverage), F.col("nx") / F.col("known")))
 
 
 def dga_score(dns: DataFrame, model: DataFrame, cfg: Config = Config()) -> DataFrame:
-    rows = labelled(dns)
-    family = families(rows, cfg)
-    nx = F.upper("rcode").isin("NXDOMAIN", "3")
-    members = rows.where(F.length("label") >= cfg.min_label_length).join(family.select("src_ip", "suffix"), ["src_ip", "suffix"], "left_semi")
-    labels = members.groupBy("src_ip", "suffix", "label").agg(F.count("*").alias("queries"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.bool_or(~nx), F.lit(False)).alias("answered"), F.count("rcode").alias("coded"))
+    counts = materialize(label_counts(labelled(dns)), "dga-labels")
+    family = families(counts, cfg)
+    labels = counts.where(F.length("label") >= cfg.min_label_length).drop("nx")
+    labels = materialize(labels.join(family.select("src_ip", "suffix"), ["src_ip", "suffix"], "left_semi"), "dga-members")
     scored = labels.join(improbability(labels, model), "label").join(family, ["src_ip", "suffix"])
     run = clip01((consonant_run(F.col("label")) - cfg.run_floor) / float(cfg.run_ceiling - cfg.run_floor))
     digits = clip01((digit_ratio(F.col("label")) - cfg.digit_floor) / (cfg.digit_ceiling - cfg.digit_floor))

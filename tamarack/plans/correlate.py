@@ -112,7 +112,7 @@ def incidents(found: DataFrame, cfg: Config = Config()) -> DataFrame:
     held = F.struct(derived.alias("d"), when.alias("t"), (-F.col("confidence")).alias("c"), F.col("id").alias("i"), F.struct(*columns).alias("f"))
     rank = severity_rank(F.col("severity"))
     gathered = members.groupBy("group").agg(
-        F.first("owner").alias("subject"), F.array_sort(F.collect_list(held)).alias("held"), F.max(rank).alias("severity_rank"),
+        F.min("owner").alias("subject"), F.array_sort(F.collect_list(held)).alias("held"), F.max(rank).alias("severity_rank"),
         F.max_by("predicate", F.when(~derived, F.struct(rank, "confidence", "id"))).alias("top"),
     )
     title = F.concat(F.initcap(F.replace("top", F.lit("_"), F.lit(" "))), F.lit(" — "), F.col("subject.value"))

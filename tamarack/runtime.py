@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,14 +32,17 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder that the driver and all executors see.
 
-    The cluster names the parent in ``spark.checkpoint.dir``.  Only where that is unset, as in local tests, a local
-    temporary folder is made and recorded in the session.
+    The cluster names the parent in ``spark.checkpoint.dir``.  Only where that is unset and the master is local, as in
+    tests, a local temporary folder is made, recorded in the session and deleted at the end.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
         parent = spark.conf.get("spark.tamarack.shared.dir", None)
         if not parent:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
             parent = tempfile.mkdtemp(prefix="tamarack-")
+            atexit.register(shutil.rmtree, parent, ignore_errors=True)
             spark.conf.set("spark.tamarack.shared.dir", parent)
     return f"{parent.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
