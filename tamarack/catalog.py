@@ -280,8 +280,10 @@ def egress_banded(spark, sf_dir):
 
 @query(f"SELECT src_ip, dst_port, orig_bytes, source_line, n FROM (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_port ORDER BY orig_bytes DESC NULLS LAST, ts, source_file, source_line) AS n FROM ({A.FLOWS})) WHERE n <= 5")
 def topk_artifacts(spark, sf_dir):
-    by = Window.partitionBy("src_ip", "dst_port").orderBy(F.desc_nulls_last("orig_bytes"), *common.RECORD_ORDER)
-    return A.flows(spark, sf_dir).withColumn("n", F.row_number().over(by).cast("bigint")).where("n <= 5").select("src_ip", "dst_port", "orig_bytes", "source_line", "n")
+    kept = common.first_records(A.flows(spark, sf_dir), ["src_ip", "dst_port"], 5, F.col("orig_bytes").cast("string"), [F.desc_nulls_last("orig_bytes"), *common.RECORD_ORDER])
+    rows = kept.select("src_ip", "dst_port", F.explode("artifacts").alias("a"))
+    line = F.substring_index("a.locator", ":", -1).cast("bigint")
+    return rows.select("src_ip", "dst_port", F.col("a.excerpt").cast("bigint").alias("orig_bytes"), line.alias("source_line"), F.col("a.n").cast("bigint").alias("n"))
 
 
 # --- DNS
@@ -332,7 +334,7 @@ _FAMILY = "fm AS (SELECT src_ip, suffix, count(*) AS family_queries, count(DISTI
 
 @query(f"WITH {_LABELLED}, {_FAMILY} SELECT src_ip, suffix, family_queries, family_labels, {r('coverage', 'rcode_coverage')}, {r('nx_rate', 'nx_rate')} FROM fm")
 def dga_family(spark, sf_dir):
-    return rounded(tlsdga.families(tlsdga.labelled(A.generated(spark, sf_dir))).select("src_ip", "suffix", "family_queries", "family_labels", "rcode_coverage", "nx_rate"))
+    return rounded(tlsdga.families(tlsdga.label_counts(tlsdga.labelled(A.generated(spark, sf_dir)))).select("src_ip", "suffix", "family_queries", "family_labels", "rcode_coverage", "nx_rate"))
 
 
 @query(
@@ -412,8 +414,9 @@ def lineage_breadth(spark, sf_dir):
 @query(f"WITH {_EDGES}, {_PRESENCE}, {_RARE}, {_LINEAGE} SELECT host, parent_name, image_name, {r('score', 'score')} FROM ls WHERE score >= 0.3 AND NOT EXISTS (SELECT 1 FROM rp WHERE rp.host = ls.host AND rp.image_name = ls.image_name AND rp.score >= 0.15)")
 def subsumed(spark, sf_dir):
     rows = A.executions(spark, sf_dir)
-    lineage = host.lineage_score(rows, _HOST).where("score >= 0.3")
-    return rounded(host.subsumed(lineage, host.process_score(rows, _HOST).where("score >= 0.15")).select("host", "parent_name", "image_name", "score"))
+    summed = host.summary(rows)
+    lineage = host.lineage_score(rows, _HOST, summed).where("score >= 0.3")
+    return rounded(host.subsumed(lineage, host.process_score(rows, _HOST, summed).where("score >= 0.15")).select("host", "parent_name", "image_name", "score"))
 
 
 @query(

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tamarack import catalog
+from tamarack import catalog, catalog_reports
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
