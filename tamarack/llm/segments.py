@@ -20,6 +20,7 @@ _CUT, _OTHER = 1, 2
 _WHITE = np.zeros(256, np.uint8)
 _WHITE[[0x20, 0x0A]] = _CUT
 _WHITE[[0x09, 0x0B, 0x0C, 0x0D]] = _OTHER
+_PLAIN = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
 _LOW = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -51,6 +52,16 @@ def spaced(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
+def lettered(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of segments parted by, and without, single spaces between two ASCII letters or digits."""
+    at = np.flatnonzero(data == 0x20)
+    text = np.searchsorted(ends, at, "right")
+    at = at[(at > begins[text]) & (at + 1 < ends[text])]
+    at = at[_PLAIN[data[at - 1]] & _PLAIN[data[at + 1]]]
+    full = ends > begins
+    return np.sort(np.concatenate([begins[full], at + 1])), np.sort(np.concatenate([ends[full], at]))
+
+
 class _Table:
     """Open addressing from pairs of 64-bit numbers to entries."""
 

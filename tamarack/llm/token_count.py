@@ -2,8 +2,8 @@
 
 Texts are cut at safe boundaries (white space, for the two layouts of text rules that never join words across it), the
 distinct segments of an Arrow batch are encoded by the library in sub-batches of equal size in bytes, and only lengths
-are kept.  A sentencepiece model, or a tokenizer of another layout, may join across spaces, so its texts are encoded
-whole.
+are kept.  Texts for a sentencepiece model are cut at single spaces between letters if no piece of its reaches across
+them.  A tokenizer of another layout may join across spaces, so its texts are encoded whole.
 
 Null and empty texts have 0 bytes and 0 tokens.  Repeated rows each get a row; other columns are ignored; an
 empty table gives no rows.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import by_bytes, prepare, texts
-from tamarack.llm.segments import SegmentIds, spaced
+from tamarack.llm.segments import SegmentIds, lettered, spaced
 from tamarack.llm.token_store import ENCODE_BYTES, load_tokenizer, segment_encoder
 
 
@@ -34,7 +34,15 @@ def _counter(path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return whole(lambda part: model.encode(part, num_threads=1))
+
+        def encode(part: list[str]) -> list[list[int]]:
+            return model.encode(part, num_threads=1)
+
+        def of_segments(segments: list[str]) -> tuple[list[int], list[int]]:
+            coded = [y for part in by_bytes(segments, ENCODE_BYTES) for y in encode(part)]
+            return [i for x in coded for i in x], [len(x) for x in coded]
+
+        return SegmentIds(of_segments, lettered).counts_of if _begins_words(model) else whole(encode)
     tokenizer = load_tokenizer(path)
     if _byte_level(tokenizer):
         return SegmentIds(segment_encoder(tokenizer)).counts_of
@@ -48,6 +56,16 @@ LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replac
 WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
+def _begins_words(model) -> bool:
+    """Does a sentencepiece model mark white space at the beginning of pieces only, and put one before a text?
+
+    Then no piece reaches across a single space between two letters, and the text behind it is coded as one of its own.
+    """
+    mark = "\u2581"
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i))
+    return model.encode("a a", out_type=str) == [mark + "a", mark + "a"] and all(mark not in x.lstrip(mark) for x in pieces)
+
+
 def _spec(tokenizer) -> dict:
     import json
 

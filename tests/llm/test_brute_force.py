@@ -139,6 +139,19 @@ def test_batches_are_balanced_by_bytes():
     assert max(sizes) - min(sizes) <= 2 * 916 and by_bytes([], 5) == []
 
 
+def test_sentencepiece_counts():
+    import pyarrow as pa
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    parts = [" ", " ", "  ", "\n", "a", "word", "The", "1", "é", "\u0301", "漢", ".", "\u2581", "\t", "ing", "\xa0", "<s>", "ﬁ"]
+    texts = [None, "", " ", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(4000)), "the word is one " * 5000]
+    assert token_count._begins_words(model)
+    assert token_count._counter(path)(pa.array(texts)).tolist() == [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
+
+
 # --- fingerprints by a plain chunker
 
 
