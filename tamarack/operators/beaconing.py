@@ -64,22 +64,24 @@ def candidate_events(conns: DataFrame, gated: DataFrame, cfg: Config = Config())
 
 def score(conns: DataFrame, cfg: Config = Config()) -> DataFrame:
     """All measurements and the score of every candidate that can be scored."""
-    summed = summary(conns)
+    summed = materialize(summary(conns), "beacon-pairs")
     rows = candidate_events(conns, candidates(summed, cfg), cfg).select("pair", *KEYS, "ts", "orig_bytes", "source_file", "source_line")
     order = ["source_file", "source_line"]
+    rows = materialize(rows, "beacon-records")
     kept = rows.groupBy("pair", *KEYS).agg(F.count("*").alias("raw_records"), (F.max("ts") - F.min("ts")).alias("span"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_raw"))
-    kept = kept.where((F.col("raw_records") >= cfg.min_connections) & (F.col("span") >= cfg.min_span_seconds))
+    kept = materialize(kept.where((F.col("raw_records") >= cfg.min_connections) & (F.col("span") >= cfg.min_span_seconds)), "beacon-candidates")
+    long = kept.where(F.col("raw_records") > K.LONG_KEY).limit(1).count() > 0
     rows = rows.join(kept.select("pair"), "pair", "left_semi")
     # candidates are a small share of all records, and each kernel reads them several times
-    spaced = materialize(K.gaps(rows, "pair", "ts", order), "beacon-gaps")
+    spaced = materialize(K.gaps(rows, "pair", "ts", order, long), "beacon-gaps")
     thresholds = materialize(K.gap_threshold(spaced, "pair"), "beacon-thresholds")
-    bursts = K.coalesce_bursts(spaced, thresholds, "pair", "ts", "orig_bytes", order)
+    bursts = K.coalesce_bursts(spaced, thresholds, "pair", "ts", "orig_bytes", order, long)
+    bursts = materialize(K.gaps(bursts, "pair", "ts", ["records"], long), "beacon-bursts")
     enough = bursts.groupBy("pair").agg(F.count("*").alias("samples"), F.max("ts").alias("last_ts")).where(F.col("samples") >= cfg.min_connections)
-    bursts = materialize(bursts.join(enough.select("pair"), "pair", "left_semi"), "beacon-bursts")
-    intervals = K.gaps(bursts, "pair", "ts", ["records"]).where("gap > 0").select("pair", "gap")
-    timing = K.dispersion(intervals, "pair", "gap").where((F.col("n") >= 3) & F.col("med").between(cfg.min_period_seconds, cfg.max_period_seconds))
+    intervals = bursts.where("gap > 0").select("pair", "gap").join(enough.select("pair"), "pair", "left_semi")
+    timing = K.dispersion(intervals, "pair", "gap", long).where((F.col("n") >= 3) & F.col("med").between(cfg.min_period_seconds, cfg.max_period_seconds))
     timing = materialize(timing, "beacon-timing")
-    sizes = K.dispersion(bursts.select("pair", F.col("orig_bytes").cast("double").alias("size")), "pair", "size").where("n >= 3")
+    sizes = K.dispersion(bursts.select("pair", F.col("orig_bytes").cast("double").alias("size")), "pair", "size", long).where("n >= 3")
     sizes = sizes.select("pair", F.col("cod").alias("size_dispersion"), F.col("med").alias("median_bytes"))
     rhythm = K.periodicity(bursts.select("pair", "ts"), timing.select("pair", F.col("med").alias("period"), F.col("mad").alias("jitter")), "pair", "ts")
     joined = kept.join(enough, "pair").join(timing, "pair").join(sizes, "pair", "left").join(rhythm, "pair", "left").join(thresholds, "pair", "left").join(prevalence(summed), "dst_ip", "left")

@@ -55,7 +55,8 @@ def pairs(conns: DataFrame) -> DataFrame:
 
 def baselines(measured: DataFrame) -> DataFrame:
     """By source: destinations, median and spread of their volumes, and the window it was seen in."""
-    spread = K.dispersion(measured.select("src_ip", F.col("bytes").cast("double").alias("b")), "src_ip", "b").select("src_ip", F.col("n").alias("base_n"), F.col("med").alias("base_med"), F.col("mad").alias("base_mad"))
+    long = K.has_long_key(measured, "src_ip")
+    spread = K.dispersion(measured.select("src_ip", F.col("bytes").cast("double").alias("b")), "src_ip", "b", long).select("src_ip", F.col("n").alias("base_n"), F.col("med").alias("base_med"), F.col("mad").alias("base_mad"))
     window = measured.groupBy("src_ip").agg(F.min("first_ts").alias("host_first"), F.max("last_ts").alias("host_last"))
     return spread.join(window, "src_ip")
 

@@ -2,6 +2,10 @@
 
 Keys are single columns.  Nothing is gathered into arrays: dispersion is two aggregates, the gap threshold a histogram
 of occupied bins with cumulative sums, periodicity a self-join of occupied bins on bin + lag.
+
+Gaps, bursts and quantiles need a key's rows in order.  Where a key has more than LONG_KEY rows, rows are dealt into
+ranges of key and order instead of by key, and the ranges of a key are stitched together by one row a range, so no key
+has to fit in one task; the results are the same.
 """
 
 from __future__ import annotations
@@ -9,20 +13,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.runtime import materialize
+
 _TINY = 1e-12
 _BINS = 64
+#: Rows of one key that a task sorts or counts at most.
+LONG_KEY = 4_000_000
+
+
+def has_long_key(rows: DataFrame, key: str) -> bool:
+    """Has a key more than LONG_KEY rows?  One count with partial sums."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > LONG_KEY).limit(1).count() > 0
+
+
+def _in_ranges(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with __range: ascending ranges of key and order, written, so that they stay as they are."""
+    return materialize(rows.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def _carried(rows: DataFrame, key: str, total: Column) -> DataFrame:
+    """(key, __range, __before): the sum of a total over the key's ranges before each."""
+    totals = rows.groupBy(key, "__range").agg(total.alias("__total"))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(key, "__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
 
 
-def median(x: Column | str) -> Column:
-    return F.percentile(x, F.lit(0.5))
+def quantiles(rows: DataFrame, key: str, value: str, shares: list[float], long: bool = False) -> DataFrame:
+    """(key, n, q): exact quantiles of each key's values, interpolated; q is an array in the order of shares."""
+    if not long:
+        return rows.groupBy(key).agg(F.count("*").alias("n"), F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
+    counted = _in_ranges(rows.groupBy(key, value).agg(F.count("*").alias("__c")), key, [value])
+    within = Window.partitionBy(key, "__range").orderBy(value)
+    placed = counted.withColumn("__upto", F.sum("__c").over(within)).join(_carried(counted, key, F.sum("__c")), [key, "__range"])
+    placed = placed.select(key, value, (F.col("__upto") + F.col("__before") - F.col("__c")).alias("__first"), (F.col("__upto") + F.col("__before")).alias("__end"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    aims = placed.join(sizes, key)
+    parts = []
+    for s in shares:
+        at = F.lit(s) * (F.col("n") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        hit = lambda place: F.max(F.when((F.col("__first") <= place) & (place < F.col("__end")), F.col(value)))  # noqa: E731, B023
+        parts += [(hit(low), hit(high), s)]
+    found = aims.groupBy(key, "n").agg(*[c.alias(f"__{i}{side}") for i, (a, b, _) in enumerate(parts) for side, c in (("a", a), ("b", b))])
+    share = lambda s: F.lit(s) * (F.col("n") - 1) - F.floor(F.lit(s) * (F.col("n") - 1))
+    return found.select(key, "n", F.array(*[(1 - share(s)) * F.col(f"__{i}a") + share(s) * F.col(f"__{i}b") for i, (_, _, s) in enumerate(parts)]).alias("q"))
 
 
-def dispersion(values: DataFrame, key: str, value: str) -> DataFrame:
+def dispersion(values: DataFrame, key: str, value: str, long: bool = False) -> DataFrame:
     """(key, n, med, mad, cod, q25): median, median absolute deviation, their ratio (1 if it can't be formed) and first quartile."""
     rows = values.where(F.col(value).isNotNull())
-    first = rows.groupBy(key).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5))).alias("q"))
-    first = first.select(key, "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("med"))
-    second = rows.join(first.select(key, "med"), key).groupBy(key).agg(median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    first = quantiles(rows, key, value, [0.25, 0.5], long).select(key, "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("med"))
+    apart = rows.join(first.select(key, "med"), key).select(key, F.abs(F.col(value) - F.col("med")).alias("__apart"))
+    second = quantiles(apart, key, "__apart", [0.5], long).select(key, F.col("q")[0].alias("mad"))
     ratio = F.when(F.abs("med") < _TINY, F.lit(1.0)).otherwise(F.col("mad") / F.abs("med"))
     return first.join(second, key).select(key, "n", "med", "mad", ratio.alias("cod"), "q25")
 
@@ -37,10 +79,16 @@ def robust_deviation(value: Column, med: Column, mad: Column, n: Column) -> Colu
     return F.when((n >= 3) & (mad >= _TINY), (value - med) / (1.4826 * mad))
 
 
-def gaps(events: DataFrame, key: str, ts: str, order: list[str]) -> DataFrame:
+def gaps(events: DataFrame, key: str, ts: str, order: list[str], long: bool = False) -> DataFrame:
     """events with gap: the seconds since the key's event before; null for the first."""
-    by = Window.partitionBy(key).orderBy(ts, *order)
-    return events.withColumn("gap", F.col(ts) - F.lag(ts).over(by))
+    if not long:
+        return events.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(key).orderBy(ts, *order)))
+    rows = _in_ranges(events, key, [ts, *order])
+    lasts = rows.groupBy(key, "__range").agg(F.max(ts).alias("__last"))
+    lasts = lasts.select(key, "__range", F.lag("__last").over(Window.partitionBy(key).orderBy("__range")).alias("__before"))
+    near = F.lag(ts).over(Window.partitionBy(key, "__range").orderBy(ts, *order))
+    found = rows.withColumn("__near", near).join(lasts, [key, "__range"])
+    return found.select(*events.columns, (F.col(ts) - F.coalesce("__near", "__before")).alias("gap"))
 
 
 def gap_threshold(with_gaps: DataFrame, key: str, min_decades: float = 1.0, min_share: float = 0.10) -> DataFrame:
@@ -70,14 +118,20 @@ def gap_threshold(with_gaps: DataFrame, key: str, min_decades: float = 1.0, min_
     return sides.where(held).select(key, F.pow(F.lit(10.0), F.col("split")).alias("threshold"))
 
 
-def coalesce_bursts(with_gaps: DataFrame, thresholds: DataFrame, key: str, ts: str, value: str, order: list[str]) -> DataFrame:
+def coalesce_bursts(with_gaps: DataFrame, thresholds: DataFrame, key: str, ts: str, value: str, order: list[str], long: bool = False) -> DataFrame:
     """(key, ts, value, records): one row a burst.  A burst starts where the gap exceeds the key's threshold; keys without one keep each event.
 
     The value is null where no event of the burst has one.
     """
-    by = Window.partitionBy(key).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = (Window.unboundedPreceding, 0)
     starts = F.when(F.col("gap").isNull() | F.col("threshold").isNull() | (F.col("gap") > F.col("threshold")), 1).otherwise(0)
-    numbered = with_gaps.join(thresholds, key, "left").withColumn("burst", F.sum(starts).over(by))
+    rows = with_gaps.join(thresholds, key, "left").withColumn("__starts", starts)
+    if long:
+        rows = _in_ranges(rows, key, [ts, *order])
+        by = Window.partitionBy(key, "__range").orderBy(ts, *order).rowsBetween(*upto)
+        numbered = rows.join(_carried(rows, key, F.sum("__starts")), [key, "__range"]).withColumn("burst", F.sum("__starts").over(by) + F.col("__before"))
+    else:
+        numbered = rows.withColumn("burst", F.sum("__starts").over(Window.partitionBy(key).orderBy(ts, *order).rowsBetween(*upto)))
     return numbered.groupBy(key, "burst").agg(F.min(ts).alias(ts), F.sum(value).alias(value), F.count("*").alias("records")).drop("burst")
 
 

@@ -139,6 +139,29 @@ def test_verifier(spark):
     assert [r.reason for r in rows] == [None, "no citation", "unresolved citation", "fabricated entity: 10.0.0.9"]
 
 
+def test_energy_meters(tmp_path):
+    import time
+
+    from tamarack import receipt
+
+    counter = tmp_path / "energy_uj"
+    assert receipt.counter_meter(counter) is None and receipt.rail_meter(tmp_path) is None
+    counter.write_text("1000000\n")
+    end = receipt.counter_meter(counter)
+    counter.write_text("3500000\n")
+    assert end() == 2.5
+    end = receipt.counter_meter(counter)
+    counter.write_text("5\n")
+    assert end() is None
+    for i, watts in enumerate((2, 3)):
+        (tmp_path / f"hwmon{i}").mkdir()
+        (tmp_path / f"hwmon{i}" / "power1_input").write_text(f"{watts * 1_000_000}\n")
+    began, end = time.monotonic(), receipt.rail_meter(tmp_path, every=0.01)
+    time.sleep(0.1)
+    joules = end()
+    assert 0.45 <= joules <= 5 * (time.monotonic() - began) + 0.01
+
+
 # --- kernels against NumPy
 
 
@@ -165,6 +188,25 @@ def _autocorrelation(t, period, jitter):
     return min(1.0, max(0.0, max(s[:-k] @ s[k:] / e for k in range(lo, hi + 1))))
 
 
+def test_long_keys_are_dealt_in_ranges(spark):
+    """The ways for keys of any length give what the plain ways give."""
+    rng = np.random.default_rng(8)
+    made = [(f"k{i % 3}", float(t), int(b) if b % 4 else None, n) for i in range(6) for n, (t, b) in enumerate(zip(np.sort(rng.choice([0.5, 1.0, 30.0, 900.0], 300)).cumsum(), rng.integers(0, 50, 300), strict=True))]
+    events = spark.createDataFrame(made, "k string, ts double, v long, n int").repartition(5)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    spaced = [K.gaps(events, "k", "ts", ["n"], long).select("k", "ts", "v", "n", "gap") for long in (False, True)]
+    assert shown(spaced[0].drop("v")) == shown(spaced[1].drop("v"))
+    limits = spark.createDataFrame([("k0", 20.0), ("k1", 0.1)], "k string, threshold double")
+    bursts = [K.coalesce_bursts(spaced[0], limits, "k", "ts", "v", ["n"], long).select("k", "ts", "v", "records") for long in (False, True)]
+    assert shown(bursts[0].drop("v")) == shown(bursts[1].drop("v")) and bursts[0].agg(F.sum("v")).first() == bursts[1].agg(F.sum("v")).first()
+    values = spaced[0].where("gap is not null").select("k", "gap")
+    plain, ranged = ({r.k: r for r in K.dispersion(values, "k", "gap", long).collect()} for long in (False, True))
+    assert plain.keys() == ranged.keys() and all(math.isclose(plain[k][c], ranged[k][c], abs_tol=1e-9) for k in plain for c in ("n", "med", "mad", "cod", "q25"))
+    shares = [0.0, 0.1, 0.333, 0.5, 0.99, 1.0]
+    plain, ranged = ({r.k: r.q for r in K.quantiles(values, "k", "gap", shares, long).collect()} for long in (False, True))
+    assert all(np.allclose(plain[k], ranged[k]) for k in plain)
+
+
 def test_kernels_match_numpy(spark):
     rng = np.random.default_rng(5)
     series = {f"k{i}": _series(rng) for i in range(40)}
