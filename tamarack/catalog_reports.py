@@ -304,6 +304,30 @@ def shared_answers(spark, sf_dir):
     return intel.shared_answers(_answered(spark, sf_dir)).select("address", "name", "breadth")
 
 
+_FLAGGED = f"fa AS (SELECT DISTINCT address, 'feed' || split_part(address, '.', 4)::INT % 2 AS ai FROM nm WHERE split_part(address, '.', 4)::INT % 5 = 0), fn AS (SELECT DISTINCT name, 'zone' || left(name, 1) AS ni FROM nm WHERE name < '4')"
+
+
+@query(
+    f"""WITH nm AS (SELECT DISTINCT {C._Q} AS name, trim(unnest(string_split(answers, ';'))) AS address FROM ({_ANSWERED}) WHERE {C._Q} <> ''), br AS (SELECT address, count(*) AS breadth FROM nm GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5), {_FLAGGED},
+ mk AS (SELECT address, name, least(0.95::DOUBLE, 2.0 / breadth) AS score, ni, ai FROM nm JOIN br USING (address) LEFT JOIN fn USING (name) LEFT JOIN fa USING (address)),
+ an AS (SELECT address, ni AS anchor_indicator, min(name) AS anchor FROM mk WHERE ai IS NULL AND ni IS NOT NULL GROUP BY 1, 2),
+ bl AS (SELECT address, ai, regexp_extract(address, '^(.*)[.]', 1) AS block FROM fa),
+ al AS (SELECT address AS u, name AS v, 'shared_resolution' AS link, address AS via, ai AS anchor_indicator, score FROM mk WHERE ai IS NOT NULL AND ni IS DISTINCT FROM ai
+  UNION ALL SELECT anchor, name, 'shared_resolution', address, anchor_indicator, score FROM mk JOIN an USING (address) WHERE ai IS NULL AND ni IS DISTINCT FROM anchor_indicator AND name <> anchor
+  UNION ALL SELECT x.address, y.address, 'shared_netblock', x.block || '.0/24', x.ai, 0.5::DOUBLE FROM bl x JOIN bl y ON x.block = y.block AND x.address < y.address AND x.ai <> y.ai),
+ ch AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY via, anchor_indicator, u) = 1)
+ SELECT u, v, link, via, anchor_indicator, {r('score', 'score')} FROM (SELECT * FROM ch ORDER BY score DESC, u, v LIMIT 50)"""
+)
+def intel_links(spark, sf_dir):
+    """Shared answers and netblocks between flagged and other infrastructure, at most fifty."""
+    dns = _answered(spark, sf_dir)
+    names = dns.select(F.lower(F.btrim("query", F.lit("."))).alias("name"), F.explode(F.split("answers", ";")).alias("a")).select("name", F.trim("a").alias("address"))
+    last = F.substring_index("address", ".", -1).try_cast("int")
+    addresses = names.where(last % 5 == 0).select(F.col("address").alias("value"), F.concat(F.lit("feed"), (last % 2).cast("string")).alias("indicator"), F.lit(False).alias("is_name"))
+    zones = names.where("name < '4'").select(F.col("name").alias("value"), F.concat(F.lit("zone"), F.substring("name", 1, 1)).alias("indicator"), F.lit(True).alias("is_name"))
+    return rounded(intel.links(dns, addresses.union(zones).distinct()).select("u", "v", "link", "via", "anchor_indicator", "score"))
+
+
 # --- labels
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
+from itertools import pairwise
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -40,17 +43,61 @@ class Receipt:
         return asdict(self) | {"records_per_second": self.records_per_second, "joules_per_incident": self.joules_per_incident}
 
 
-def _microjoules() -> int | None:
+#: A meter that has begun: called, it ends and gives the joules since then, or None.
+Meter = Callable[[], float | None]
+
+
+def _number(path: Path) -> float | None:
     try:
-        return int(_RAPL.read_text())
+        return float(path.read_text())
     except (OSError, ValueError):
         return None
 
 
+def counter_meter(path: Path = _RAPL) -> Meter | None:
+    """The processor's energy counter, if it can be read; one that wrapped says nothing."""
+    before = _number(path)
+
+    def end() -> float | None:
+        after = _number(path)
+        return (after - before) / 1e6 if after is not None and after >= before else None
+
+    return end if before is not None else None
+
+
+def rail_meter(root: Path = Path("/sys/class/hwmon"), every: float = 0.1) -> Meter | None:
+    """Power of all sensor rails, sampled by a thread and integrated between samples."""
+    rails = [p for p in sorted(root.glob("hwmon*/power*_input")) if _number(p) is not None]
+    if not rails:
+        return None
+    samples: list[tuple[float, float]] = []
+    over = threading.Event()
+
+    def sample() -> None:
+        samples.append((time.monotonic(), sum(_number(p) or 0.0 for p in rails) / 1e6))
+
+    def run() -> None:
+        while not over.wait(every):
+            sample()
+
+    sample()
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+
+    def end() -> float:
+        over.set()
+        thread.join()
+        sample()
+        return sum((t - s) * (v + w) / 2 for (s, v), (t, w) in pairwise(samples))
+
+    return end
+
+
 @contextmanager
 def metered(spark: SparkSession, group: str = "tamarack-run"):
-    """A receipt that is filled in when the block ends; energy is measured if the processor's counter can be read, else estimated and so labelled."""
-    out, began, before = Receipt(), time.monotonic(), _microjoules()
+    """A receipt that is filled in when the block ends; energy is that of the first meter which gives one, else estimated and so labelled."""
+    out, began = Receipt(), time.monotonic()
+    meters = {"measured: processor counter": counter_meter(), "measured: sensor rails": rail_meter()}
     context = spark.sparkContext
     context.setJobGroup(group, group)
     try:
@@ -67,8 +114,6 @@ def metered(spark: SparkSession, group: str = "tamarack-run"):
                 if stage:
                     out.stages += 1
                     out.tasks += stage.numTasks
-        after = _microjoules()
-        if before is not None and after is not None and after >= before:
-            out.joules, out.energy_source = (after - before) / 1e6, "measured"
-        else:
-            out.joules, out.energy_source = out.seconds * context.defaultParallelism * WATTS_PER_CORE, "estimated"
+        read = {name: joules for name, meter in meters.items() if meter is not None and (joules := meter()) is not None}
+        read["estimated"] = out.seconds * context.defaultParallelism * WATTS_PER_CORE
+        out.energy_source, out.joules = next(iter(read.items()))
