@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import lists_of, prepare, tidied
+from tamarack.llm.common import give_back, lists_of, prepare, tidied
 from tamarack.llm.segments import SegmentIds, spaced, tiling
 
 _NEVER = np.iinfo(np.int64).max
@@ -140,7 +140,9 @@ class BpeModel:
     @functools.lru_cache(maxsize=4)
     def from_file(cls, path: str) -> BpeModel:
         with open(path, encoding="utf-8") as f:
-            return cls(json.load(f))
+            model = cls(json.load(f))
+        give_back()
+        return model
 
     def _read_text_rules(self, spec: dict) -> None:
         normalizer = spec["normalizer"]

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of a segment that is its own key, and of one that is kept.
 SHORT, KEPT = 15, 64
+#: Segments worked out at once, which bounds what that takes in memory.
+AT_ONCE = 1 << 14
 _CUT, _OTHER = 1, 2
 _WHITE = np.zeros(256, np.uint8)
 _WHITE[[0x20, 0x0A]] = _CUT
@@ -106,7 +108,7 @@ class SegmentIds:
     with such a character, and with another one behind it, is worked out whole.
     """
 
-    def __init__(self, work_out: Callable[[list[str]], tuple[Sequence[int], Sequence[int]]], cut=tiling, limit: int = 500_000):
+    def __init__(self, work_out: Callable[[list[str]], tuple[Sequence[int], Sequence[int]]], cut=tiling, limit: int = 400_000):
         self.work_out, self.cut, self.limit = work_out, cut, limit
         self._forget()
 
@@ -127,6 +129,8 @@ class SegmentIds:
         """Entries of new segments."""
         if not keys:
             return np.zeros(0, np.int64)
+        if len(keys) > AT_ONCE:
+            return np.concatenate([self._append(keys[i : i + AT_ONCE]) for i in range(0, len(keys), AT_ONCE)])
         strings = [x.decode("utf-8", "replace") for x in keys]
         ids, counts = self.work_out(strings)
         n, counts, total = len(keys), np.asarray(counts, np.int64), len(ids)

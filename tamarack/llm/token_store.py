@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.bpe import byte_symbols
-from tamarack.llm.common import by_bytes, lists_of, long_id, prepare, range_cuts, range_of
+from tamarack.llm.common import by_bytes, lists_of, long_id, prepare, range_cuts, range_of, tidied
 from tamarack.llm.segments import SegmentIds
 
 #: Bytes of text given to the library at once.
@@ -112,7 +112,7 @@ def encode_documents(ordered: DataFrame, path: str, end_id: int) -> DataFrame:
                 names=["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
 
-    return ordered.mapInArrow(run, STORE_SCHEMA)
+    return ordered.mapInArrow(tidied(run), STORE_SCHEMA)
 
 
 def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 16 << 20, row_index_stride: int = 1000, bloom_fpp: float = 0.01, compress: str = "zstd") -> None:
