@@ -16,8 +16,8 @@ import pyarrow as pa
 
 #: Bytes of a segment that is its own key, and of one that is kept.
 SHORT, KEPT = 15, 64
-#: Segments worked out at once, which bounds what that takes in memory.
-AT_ONCE = 1 << 14
+#: Segments worked out, and looked up, at once, which bounds what that takes in memory.
+AT_ONCE, LOOKED_UP = 1 << 14, 1 << 18
 _CUT, _OTHER = 1, 2
 _WHITE = np.zeros(256, np.uint8)
 _WHITE[[0x20, 0x0A]] = _CUT
@@ -71,6 +71,7 @@ class _Table:
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.a, self.b = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.entry = np.full(1 << bits, -1, np.int32)
+        self.held = 0
 
     def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = (a ^ (b * _MORE)) * _ODD
@@ -89,7 +90,12 @@ class _Table:
         return out
 
     def add(self, a: np.ndarray, b: np.ndarray, entry: np.ndarray) -> None:
-        """Distinct keys that aren't there yet."""
+        """Distinct keys that aren't there yet; the table grows where they would fill more than two thirds of it."""
+        if 3 * (self.held + len(a)) > 2 * len(self.entry):
+            old = self.entry >= 0
+            a, b, entry = np.append(self.a[old], a), np.append(self.b[old], b), np.append(self.entry[old], entry)
+            self.__init__((2 * len(a)).bit_length())
+        self.held += len(a)
         slot = self._slot(a, b)
         while len(slot):
             free = np.flatnonzero(self.entry[slot] < 0)
@@ -144,15 +150,14 @@ class SegmentIds:
         self.entries, self.used = self.entries + n, self.used + total
         return new
 
-    def _find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The entry of each segment."""
-        size = ends - starts
-        raw = data.tobytes() + bytes(16)
-        at = np.ndarray((len(data) + 8,), "<u8", raw, strides=(1,))
+    def _find(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each segment of texts with sixteen zeros behind them, or -1 for one that isn't kept."""
+        size, n_bytes = ends - starts, len(raw) - 16
+        at = np.ndarray((n_bytes + 8,), "<u8", raw, strides=(1,))
         short = size <= SHORT
         n = np.minimum(size, SHORT)
         a = at[starts] & _LOW[np.minimum(n, 8)]
-        b = at[np.minimum(starts + 8, len(data))] & _LOW[np.maximum(n - 8, 0)] | (n.astype(np.uint64) << np.uint64(56))
+        b = at[np.minimum(starts + 8, n_bytes)] & _LOW[np.maximum(n - 8, 0)] | (n.astype(np.uint64) << np.uint64(56))
         entry = np.where(short, self.table.find(a, b), -1).astype(np.int64)
         new = np.flatnonzero(short & (entry < 0))
         if len(new):
@@ -165,13 +170,23 @@ class SegmentIds:
             entry[new[order]] = made[np.cumsum(differs) - 1]
         late = np.flatnonzero(~short).tolist()
         keys = [raw[i:j] for i, j in zip(starts[late].tolist(), ends[late].tolist(), strict=True)]
-        unknown = list(dict.fromkeys(x for x in keys if x not in self.long))
-        kept = [x for x in unknown if len(x) <= KEPT]
-        self.long.update(zip(kept, self._append(kept).tolist(), strict=True))
+        unknown = list(dict.fromkeys(x for x in keys if len(x) <= KEPT and x not in self.long))
+        self.long.update(zip(unknown, self._append(unknown).tolist(), strict=True))
+        entry[late] = [self.long.get(x, -1) for x in keys]
+        return entry
+
+    def _find_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each segment; those that aren't kept come last, to be forgotten by _end()."""
+        raw = data.tobytes() + bytes(16)
+        entry = np.empty(len(starts), np.int64)
+        for i in range(0, len(starts), LOOKED_UP):
+            entry[i : i + LOOKED_UP] = self._find(raw, starts[i : i + LOOKED_UP], ends[i : i + LOOKED_UP])
         self.keep_entries, self.keep_used = self.entries, self.used
-        passing = [x for x in unknown if len(x) > KEPT]
-        known = dict(zip(passing, self._append(passing).tolist(), strict=True))
-        entry[late] = [known[x] if x in known else self.long[x] for x in keys]
+        passing = np.flatnonzero(entry < 0)
+        keys = [raw[i:j] for i, j in zip(starts[passing].tolist(), ends[passing].tolist(), strict=True)]
+        distinct = list(dict.fromkeys(keys))
+        known = dict(zip(distinct, self._append(distinct).tolist(), strict=True))
+        entry[passing] = [known[x] for x in keys]
         return entry
 
     def _look_up(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +203,7 @@ class SegmentIds:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts, ends = self.cut(data, begins, upto)
         text = np.searchsorted(upto, starts, "right")
-        entry = self._find(data, starts, ends)
+        entry = self._find_all(data, starts, ends)
         parted = self.ragged[entry[:-1]] & (text[:-1] == text[1:])
         if parted.any():
             whole = np.unique(text[:-1][parted])

@@ -164,6 +164,11 @@ def test_segments_are_forgotten_and_found_again():
         assert flat.tolist() == [y for t in texts for y in [*map(len, (t or "").split(" ") if t else []), -1]]
         assert kept.counts_of(pa.array(texts)[2:5]).tolist() == (counts[2:5] - 1).tolist()
     assert len(worked) > len(set(worked))
+    # one text with far more distinct segments than are kept at a time
+    many = [f"{i:x}" * (1 + 5 * (i % 7 == 0)) for i in range(700_000)]
+    flat, counts = kept.ids_of(pa.array(["a b", " ".join(many), "c"]))
+    assert counts.tolist() == [2, len(many), 1] and flat[2:-1].tolist() == [len(x) for x in many]
+    assert kept.ids_of(pa.array(["abc d"]))[0].tolist() == [3, 1]
     empty = segments.SegmentIds(work_out)
     assert empty.counts_of(pa.array([None, ""], pa.string())).tolist() == [0, 0] and len(empty.ids_of(pa.array([], pa.string()))[1]) == 0
 
