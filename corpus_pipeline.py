@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents.  All but the last keep the columns of documents: doc_id, text, lang, source, n_chars.  Null texts
-and empty tables pass through every stage; each stage works on all rows of the one before.
+and empty tables pass through every stage; each stage works on all rows of the one before.  Rows may repeat, ids may be
+null or have several texts (the near-duplicates stage says what becomes of them); columns beyond these five go.
 """
 
 from __future__ import annotations
