@@ -7,7 +7,8 @@ its deepest interval, so the union of these spans is the union of all maximal re
 share of the text's word characters that the union covers, and the longest repeat.
 
 All arrays are built over an Arrow batch of bounded bytes at once.  Null and empty texts have no words and fail the base
-rules.  A text of any length is handled whole, in memory that grows with it alone.
+rules.  A text of any length is handled whole, in memory that grows with it alone.  Repeated rows each get a row; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
