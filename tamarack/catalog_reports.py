@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tamarack import adapters as A
 from tamarack import catalog as C
 from tamarack import evaluate, schemas
-from tamarack.catalog import ORACLES, query, r, rounded, wgm
+from tamarack.catalog import ORACLES, QUERIES, query, r, rounded, wgm
 from tamarack.functions import exprs as X
 from tamarack.operators import alerts, beaconing, common, dnstunnel, egress, fanout, host, intel, tlsdga
 from tamarack.plans import correlate
@@ -22,6 +22,9 @@ from tamarack.side import inventory as inv
 from tamarack.sources import netflow, passivedns, suricata, sysmon, zeek
 from tamarack.streaming import windows
 
+__all__ = ["ORACLES", "QUERIES"]
+
+
 # --- detectors with their thresholds and caps
 
 

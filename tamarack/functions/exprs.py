@@ -128,6 +128,7 @@ CATEGORY_WEIGHTS = (
     ("suspicious", 0.55), ("network scan", 0.50), ("network-scan", 0.50), ("scan", 0.50),
     ("privacy violation", 0.35), ("policy", 0.30), ("misc attack", 0.50), ("misc activity", 0.25), ("misc-activity", 0.25), ("protocol", 0.25),
 )
+# The weight of any other category, and of stated severities.
 UNMATCHED_CATEGORY = 0.40
 SEVERITY_SCORES = {1: 1.0, 2: 0.6, 3: 0.3}
 DEFAULT_SEVERITY_SCORE = 0.4

@@ -123,9 +123,18 @@ def incidents(found: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def queue(found: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Incidents with their place in the queue: by priority, severity, id.  Incidents are one a subject with a finding, a few thousand at most by the detectors' caps."""
-    order = Window.orderBy(F.desc("priority"), F.desc("severity_rank"), "id")
-    return incidents(found, cfg).withColumn("place", F.row_number().over(order))
+    """Incidents with their place in the queue: by priority, severity, id.
+
+    They are dealt into ranges of that order and numbered within each; a range's first place follows from the sizes of
+    those before it, one row a range, so no task sorts all incidents.
+    """
+    order = [F.desc("priority"), F.desc("severity_rank"), F.col("id")]
+    ranged = materialize(incidents(found, cfg).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "queue")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return placed.withColumn("place", (within + F.col("__before")).cast("int")).drop("__range", "__before")
 
 
 def severity_counts(ranked: DataFrame) -> DataFrame:
