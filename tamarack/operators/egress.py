@@ -53,12 +53,11 @@ def pairs(conns: DataFrame) -> DataFrame:
     return out.where("measured > 0")
 
 
-def baselines(measured: DataFrame) -> DataFrame:
-    """By source: destinations, median and spread of their volumes, and the window it was seen in."""
-    long = K.has_long_key(measured, "src_ip")
-    spread = K.dispersion(measured.select("src_ip", F.col("bytes").cast("double").alias("b")), "src_ip", "b", long).select("src_ip", F.col("n").alias("base_n"), F.col("med").alias("base_med"), F.col("mad").alias("base_mad"))
-    window = measured.groupBy("src_ip").agg(F.min("first_ts").alias("host_first"), F.max("last_ts").alias("host_last"))
-    return spread.join(window, "src_ip")
+def baselines(measured: DataFrame, long: bool = False) -> DataFrame:
+    """By source: destinations, median and spread of their volumes, and the window it was seen in; long: a source has very many destinations."""
+    values = measured.select("src_ip", F.col("bytes").cast("double").alias("b"), "first_ts", "last_ts")
+    spread = K.dispersion(values, "src_ip", "b", long, {"host_first": F.min("first_ts"), "host_last": F.max("last_ts")})
+    return spread.select("src_ip", F.col("n").alias("base_n"), F.col("med").alias("base_med"), F.col("mad").alias("base_mad"), "host_first", "host_last")
 
 
 def score(conns: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -66,11 +65,12 @@ def score(conns: DataFrame, cfg: Config = Config()) -> DataFrame:
     if not REQUIRED <= set(conns.columns):
         raise ValueError(f"egress needs {sorted(REQUIRED)}")
     measured = materialize(pairs(conns), "egress-pairs")
-    hosts = measured.groupBy("dst_ip").agg(F.count_distinct("src_ip").alias("contacting_hosts"))
+    # one row a source and destination, so rows are distinct sources
+    hosts = measured.groupBy("dst_ip").agg(F.count("*").alias("contacting_hosts"))
     large = F.col("bytes") >= cfg.min_bytes
     rare = (F.col("bytes") >= cfg.rare_min_bytes) & (F.col("flows") >= cfg.rare_min_flows) & (F.col("contacting_hosts") <= cfg.rare_max_hosts)
     gated = measured.join(hosts, "dst_ip").where(large | rare)
-    base = baselines(measured.join(gated.select("src_ip").distinct(), "src_ip", "left_semi"))
+    base = baselines(measured.join(gated.select("src_ip").distinct(), "src_ip", "left_semi"), K.has_long_key(measured, "src_ip"))
     rows = gated.join(base, "src_ip")
     total = F.col("paired_out") + F.col("paired_in")
     ratio = F.when((F.col("paired") > 0) & (F.col("paired") / F.col("flows") >= cfg.min_ratio_coverage) & (total != 0), F.col("paired_out") / total)

@@ -38,16 +38,17 @@ def _carried(rows: DataFrame, key: str, total: Column) -> DataFrame:
     return totals.select(key, "__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
 
 
-def quantiles(rows: DataFrame, key: str, value: str, shares: list[float], long: bool = False) -> DataFrame:
-    """(key, n, q): exact quantiles of each key's values, interpolated; q is an array in the order of shares."""
+def quantiles(rows: DataFrame, key: str, value: str, shares: list[float], long: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
+    """(key, n, also..., q): exact quantiles of each key's values, interpolated; q is an array in the order of shares, also are further aggregates."""
+    sums = [F.count("*").alias("n"), *[c.alias(k) for k, c in (also or {}).items()]]
     if not long:
-        return rows.groupBy(key).agg(F.count("*").alias("n"), F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
+        return rows.groupBy(key).agg(*sums, F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
     counted = _in_ranges(rows.groupBy(key, value).agg(F.count("*").alias("__c")), key, [value])
     within = Window.partitionBy(key, "__range").orderBy(value)
     placed = counted.withColumn("__upto", F.sum("__c").over(within)).join(_carried(counted, key, F.sum("__c")), [key, "__range"])
     placed = placed.select(key, value, (F.col("__upto") + F.col("__before") - F.col("__c")).alias("__first"), (F.col("__upto") + F.col("__before")).alias("__end"))
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
-    aims = placed.join(sizes, key)
+    sizes = rows.groupBy(key).agg(*sums)
+    aims = placed.join(sizes.select(key, "n"), key)
     parts = []
     for s in shares:
         at = F.lit(s) * (F.col("n") - 1)
@@ -56,17 +57,18 @@ def quantiles(rows: DataFrame, key: str, value: str, shares: list[float], long:
         parts += [(hit(low), hit(high), s)]
     found = aims.groupBy(key, "n").agg(*[c.alias(f"__{i}{side}") for i, (a, b, _) in enumerate(parts) for side, c in (("a", a), ("b", b))])
     share = lambda s: F.lit(s) * (F.col("n") - 1) - F.floor(F.lit(s) * (F.col("n") - 1))
-    return found.select(key, "n", F.array(*[(1 - share(s)) * F.col(f"__{i}a") + share(s) * F.col(f"__{i}b") for i, (_, _, s) in enumerate(parts)]).alias("q"))
+    found = found.select(key, F.array(*[(1 - share(s)) * F.col(f"__{i}a") + share(s) * F.col(f"__{i}b") for i, (_, _, s) in enumerate(parts)]).alias("q"))
+    return sizes.join(found, key)
 
 
-def dispersion(values: DataFrame, key: str, value: str, long: bool = False) -> DataFrame:
-    """(key, n, med, mad, cod, q25): median, median absolute deviation, their ratio (1 if it can't be formed) and first quartile."""
+def dispersion(values: DataFrame, key: str, value: str, long: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
+    """(key, n, med, mad, cod, q25, also...): median, median absolute deviation, their ratio (1 if it can't be formed) and first quartile."""
     rows = values.where(F.col(value).isNotNull())
-    first = quantiles(rows, key, value, [0.25, 0.5], long).select(key, "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("med"))
+    first = quantiles(rows, key, value, [0.25, 0.5], long, also).select(key, "n", *(also or ()), F.col("q")[0].alias("q25"), F.col("q")[1].alias("med"))
     apart = rows.join(first.select(key, "med"), key).select(key, F.abs(F.col(value) - F.col("med")).alias("__apart"))
     second = quantiles(apart, key, "__apart", [0.5], long).select(key, F.col("q")[0].alias("mad"))
     ratio = F.when(F.abs("med") < _TINY, F.lit(1.0)).otherwise(F.col("mad") / F.abs("med"))
-    return first.join(second, key).select(key, "n", "med", "mad", ratio.alias("cod"), "q25")
+    return first.join(second, key).select(key, "n", "med", "mad", ratio.alias("cod"), "q25", *(also or ()))
 
 
 def schedule_floor(n: Column, q25: Column, med: Column) -> Column:
