@@ -6,7 +6,7 @@ import json
 from dataclasses import replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack import adapters as A
@@ -19,7 +19,7 @@ from tamarack.plans import correlate
 from tamarack.runtime import shared_dir
 from tamarack.side import indicators as ioc
 from tamarack.side import inventory as inv
-from tamarack.sources import netflow, passivedns, suricata, sysmon, zeek
+from tamarack.sources import netflow, passivedns, sinks, suricata, sysmon, zeek
 from tamarack.streaming import windows
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -134,10 +134,15 @@ def _put(spark: SparkSession, path: str, lines: list[str]) -> None:
     out.close()
 
 
-def _tsv(fields: dict[str, str], rows: list) -> list[str]:
-    """A Zeek log: fields maps the log's columns to those of rows."""
-    shown = lambda v: "-" if v is None else ("T" if v else "F") if isinstance(v, bool) else repr(v) if isinstance(v, float) else str(v)
-    return ["#separator \\x09", "#path\tx", "#fields\t" + "\t".join(fields), *["\t".join(shown(x[c]) for c in fields.values()) for x in rows]]
+def _utc(between: str) -> Column:
+    """The second of ts as a UTC date and time, whatever the session's time zone."""
+    part = lambda unit, n: F.lpad(F.pmod(F.floor(F.floor("ts") / unit), F.lit(n)).cast("string"), 2, "0")
+    return F.concat(X.day_of(F.col("ts")).cast("string"), F.lit(between), F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60)))
+
+
+def _head(names: Iterable[str]) -> list[str]:
+    """The first lines of a Zeek log with these columns."""
+    return ["#separator \\x09", "#path\tx", "#fields\t" + "\t".join(names)]
 
 
 _CONN = {"ts": "ts", "id.orig_h": "src_ip", "id.resp_h": "dst_ip", "id.resp_p": "dst_port", "orig_bytes": "orig_bytes"}
@@ -193,14 +198,13 @@ def netflow_rows(spark, sf_dir):
 @query(f"SELECT floor(ts)::BIGINT::DOUBLE AS ts, src_ip, dst_ip, signature, signature_id, category, severity, n + (n - 1) // 10 AS source_line FROM (SELECT *, row_number() OVER (ORDER BY source_line) AS n FROM ({A.ALERTS}))")
 def eve_alerts(spark, sf_dir):
     """Every eleventh line is cut short and costs no other."""
-    lines = []
-    for n, x in enumerate(A.sensor_alerts(spark, sf_dir).orderBy("source_line").collect()):
-        when = datetime.fromtimestamp(int(x.ts // 1), timezone.utc).strftime("%Y-%m-%dT%H:%M:%S+0000")
-        if n and n % 10 == 0:
-            lines.append('{"timestamp": "2024-01-01T00:00:00Z", "event_type": "alert", "alert": {"sig')
-        lines.append(json.dumps({"timestamp": when, "event_type": "alert", "src_ip": x.src_ip, "dest_ip": x.dst_ip, "alert": {"signature": x.signature, "signature_id": x.signature_id, "category": x.category, "severity": x.severity}}))
+    rows = common.numbered(A.sensor_alerts(spark, sf_dir), "n", "source_line")
+    alert = F.struct("signature", "signature_id", "category", "severity").alias("alert")
+    body = F.to_json(F.struct(F.concat(_utc("T"), F.lit("+0000")).alias("timestamp"), F.lit("alert").alias("event_type"), "src_ip", F.col("dst_ip").alias("dest_ip"), alert))
+    cut = F.lit('{"timestamp": "2024-01-01T00:00:00Z", "event_type": "alert", "alert": {"sig\n')
+    lines = rows.sort("n").select(F.when((F.col("n") > 1) & (F.col("n") % 10 == 1), F.concat(cut, body)).otherwise(body).alias("value"))
     out = shared_dir(spark, "eve")
-    _put(spark, f"{out}/eve.json", lines)
+    sinks.write_lines(lines, f"{out}/eve.json")
     return suricata.load_alerts(spark, out).select("ts", "src_ip", "dst_ip", "signature", "signature_id", "category", "severity", "source_line")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.runtime import materialize
+
 #: Order of records wherever one must be chosen: never left to the engine.
 RECORD_ORDER = ["ts", "source_file", "source_line"]
 
@@ -59,6 +61,20 @@ def evenly_spaced(rows: DataFrame, key: str, k: int) -> DataFrame:
     return numbered.where((F.col("__size") <= k) | F.array_contains(places, F.col("__n"))).drop("__n", "__size")
 
 
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with each row's place in a total order, from 1.
+
+    Rows are dealt into ranges of that order and numbered within each; a range's first place follows from the sizes of
+    those before it, one row a range, so no task sorts all rows.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return placed.withColumn(name, within + F.col("__before")).drop("__range", "__before")
+
+
 def excerpt_text(text: Column, limit: int = 512) -> Column:
     """At most limit characters, the last one an ellipsis where some were cut."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Blocks of files that are broadcast at most.
+BROADCAST_BLOCKS = 100_000
+
 
 def numbered_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(value, source_file, source_line) of all lines of the files below a path whose name matches glob.
@@ -26,9 +29,12 @@ def numbered_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     rows = raw.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     blocks = rows.groupBy("f", "b").agg(F.min("i").alias("i0"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("f").alias("f2"), F.col("b").alias("b2"), "i0", before.alias("before"))
+    blocks = blocks.select(F.col("f").alias("f2"), F.col("b").alias("b2"), plain_path(F.col("f")).alias("source_file"), "i0", before.alias("before"))
+    # a block of less than a MB is a file's last; texts aren't shuffled for the few rows of blocks
+    if len(raw.inputFiles()) + (int(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >> 20) <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
     joined = rows.join(blocks, (F.col("f") == F.col("f2")) & (F.col("b") == F.col("b2")))
-    return joined.select("value", plain_path(F.col("f")).alias("source_file"), (F.col("i") - F.col("i0") + F.col("before") + 1).alias("source_line"))
+    return joined.select("value", "source_file", (F.col("i") - F.col("i0") + F.col("before") + 1).alias("source_line"))
 
 
 def plain_path(path: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.runtime import shared_dir
+
 
 def write_tables(frames: dict[str, DataFrame], directory: str) -> None:
     """Each frame as a Parquet table; Spark reads them back with the columns and filters a query needs."""
@@ -24,6 +27,37 @@ def _text(name: str, kind: str) -> Column:
     return F.format_string("%.6f", c) if kind == "double" else c.cast("string")
 
 
+def zeek_lines(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(value): a Zeek TSV line of each row, in the order of df."""
+    kinds = dict(df.dtypes)
+    return df.select(F.concat_ws("\t", *[F.coalesce(_text(c, kinds[c]), F.lit("-")) for c in columns]).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str, head: Iterable[str] = ()) -> None:
+    """The column value as the lines of one file of any size, below head and in the order of a sorted frame.
+
+    Executors write the lines as parts; the driver strings the parts' bytes together, a buffer at a time.
+    """
+    spark = lines.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "lines"))
+    lines.select("value").write.text(folder.toString())
+    found = [x.getPath() for x in folder.getFileSystem(conf).listStatus(folder)]
+    parts = sorted((int(x.getName().split("-")[1]), x.getName(), x) for x in found if x.getName().startswith("part-"))
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target)
+    try:
+        out.write(bytearray("".join(x + "\n" for x in head).encode()))
+        for _, _, part in parts:
+            source = part.getFileSystem(conf).open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
 def write_zeek(df: DataFrame, path: str, kind: str) -> None:
     """One Zeek TSV log of a small frame (fixtures and synthetic corpora), as one file."""
     names = [(c, t) for c, t in df.dtypes if c not in ("source_file", "source_line")]
