@@ -184,12 +184,12 @@ _FLOWN = f"SELECT *, floor(ts)::BIGINT AS second, CASE WHEN source_line % 4 = 0
 @query(f"SELECT second::DOUBLE AS ts, src_ip, port_in::INT AS src_port, dst_ip, port_out::INT AS dst_port, orig_bytes, CASE source_line % 3 WHEN 0 THEN 'botnet' WHEN 1 THEN 'normal' ELSE 'background' END AS label FROM ({_FLOWN}) WHERE NOT coalesce({_REPLY}, false)")
 def netflow_rows(spark, sf_dir):
     """Labels are normalised and answering halves of conversations left out."""
-    labels = ("flow=From-Botnet-V42-TCP", "From-Normal-V42", "Background-UDP")
-    lines = ["Date flow start\tDurat\tProt\tSrc"]
-    for x in A.contacts(spark, sf_dir).orderBy("source_line").collect():
-        near, far = (443, 50_000 + x.source_line % 100) if x.source_line % 4 == 0 else (40_000 + x.source_line % 100, x.dst_port)
-        when = datetime.fromtimestamp(int(x.ts // 1), timezone.utc).strftime("%Y-%m-%d %H:%M:%S.000")
-        lines.append("\t".join([when, "0.5", "TCP", f"{x.src_ip}:{near}", "->", x.dst_ip + (f":{far}" if far else ""), "S_", "0", "1", "" if x.orig_bytes is None else str(x.orig_bytes), "1", labels[x.source_line % 3]]))
+    labels = F.array(*[F.lit(x) for x in ("flow=From-Botnet-V42-TCP", "From-Normal-V42", "Background-UDP")])
+    k, text = F.col("source_line"), lambda c: c.cast("string")
+    served = k % 4 == 0
+    near = F.concat("src_ip", F.lit(":"), text(F.when(served, F.lit(443)).otherwise(40_000 + k % 100)))
+    far = F.concat_ws(":", "dst_ip", text(F.when(served, 50_000 + k % 100).otherwise(F.col("dst_port"))))
+    said = [F.concat(_utc(" "), F.lit(".000")), F.lit("0.5"), F.lit("TCP"), near, F.lit("->"), far, F.lit("S_"), F.lit("0"), F.lit("1"), F.coalesce(text(F.col("orig_bytes")), F.lit("")), F.lit("1"), F.element_at(labels, (k % 3 + 1).cast("int"))]
     out = shared_dir(spark, "netflow")
     _put(spark, f"{out}/capture", lines)
     return netflow.load_netflow(spark, out).select("ts", "src_ip", "src_port", "dst_ip", "dst_port", "orig_bytes", "label")
