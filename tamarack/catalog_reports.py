@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -153,10 +154,10 @@ def zeek_conn(spark, sf_dir):
     """A plain log, one in a folder below and one in JSON lines."""
     rows = A.contacts(spark, sf_dir).orderBy("source_line").collect()
     out = shared_dir(spark, "zeek")
-    part = [[x for x in rows if x.source_line % 3 == k] for k in range(3)]
-    _put(spark, f"{out}/conn.log", _tsv(_CONN, part[0]))
-    _put(spark, f"{out}/rotated/conn.14h.log", _tsv(_CONN, part[1]))
-    _put(spark, f"{out}/conn.json.log", [json.dumps({k: x[c] for k, c in _CONN.items() if x[c] is not None}) for x in part[2]])
+    part = [rows.where(F.col("source_line") % 3 == k) for k in range(3)]
+    sinks.write_lines(sinks.zeek_lines(part[0], _CONN.values()), f"{out}/conn.log", _head(_CONN))
+    sinks.write_lines(sinks.zeek_lines(part[1], _CONN.values()), f"{out}/rotated/conn.14h.log", _head(_CONN))
+    sinks.write_lines(part[2].select(F.to_json(F.struct(*[F.col(c).alias(k) for k, c in _CONN.items()])).alias("value")), f"{out}/conn.json.log")
     return rounded(zeek.load_connections(spark, out).select("ts", "src_ip", "dst_ip", "dst_port", "orig_bytes", "source_line"), 6)
 
 
