@@ -172,9 +172,11 @@ def zeek_dns(spark, sf_dir):
 
 @query(f"SELECT {r('ts', 'ts', 6)}, src_ip, dst_ip, ja3, CASE source_line % 3 WHEN 0 THEN true WHEN 1 THEN false END AS established FROM ({A.SESSIONS})")
 def zeek_ssl(spark, sf_dir):
-    rows = [x.asDict() | {"established": (True, False, None)[x.source_line % 3]} for x in A.sessions(spark, sf_dir).orderBy("source_line").collect()]
+    k = F.col("source_line") % 3
+    rows = A.sessions(spark, sf_dir).sort("source_line").withColumn("established", F.when(k == 0, True).when(k == 1, False))
     out = shared_dir(spark, "zeek")
-    _put(spark, f"{out}/ssl.log", _tsv({"ts": "ts", "id.orig_h": "src_ip", "id.resp_h": "dst_ip", "ja3": "ja3", "established": "established"}, rows))
+    names = {"ts": "ts", "id.orig_h": "src_ip", "id.resp_h": "dst_ip", "ja3": "ja3", "established": "established"}
+    sinks.write_lines(sinks.zeek_lines(rows, names.values()), f"{out}/ssl.log", _head(names))
     return rounded(zeek.load_ssl(spark, out).select("ts", "src_ip", "dst_ip", "ja3", "established"), 6)
 
 

@@ -10,7 +10,7 @@ from tamarack.sources.lines import numbered_lines
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["eve_alerts", "netflow_rows", "zeek_conn"])
+@pytest.mark.parametrize("name", ["eve_alerts", "netflow_rows", "zeek_conn", "zeek_ssl"])
 def test_fixtures_are_not_collected(spark, monkeypatch, name):
     def refuse(self, *a, **b):
         raise AssertionError("rows were sent to the driver")
