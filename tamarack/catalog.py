@@ -524,7 +524,7 @@ def attach_unary(spark, sf_dir):
  SELECT grp AS subject, predicate AS earlier, l_predicate AS later, {r('l_ts - first_ts', 'separation', 1)}, {r('least(confidence, l_confidence)', 'confidence')} FROM nx WHERE l_finding IS NOT NULL AND piv <> l_piv AND l_ts - first_ts >= 1"""
 )
 def precedes_edges(spark, sf_dir):
-    rows = correlate.ordered_edges(correlate.grouped(_found(spark, sf_dir)))
+    rows = correlate.ordered_edges(correlate.earliest(_found(spark, sf_dir)))
     said = lambda k: F.get_json_object(F.col("evidence")[0]["payload"], f"$.{k}")
     return rounded(rows.select(F.col("owner.value").alias("subject"), said("earlier_predicate").alias("earlier"), said("later_predicate").alias("later"), said("separation_seconds").cast("double").alias("separation"), "confidence"))
 
@@ -534,8 +534,8 @@ def precedes_edges(spark, sf_dir):
  SELECT grp AS subject, {r('combined', 'combined_confidence')}, k AS behaviours, {r('combined * least(1 + 0.5 * greatest(k - 1, 0), 2.5)', 'score')}, (SELECT count(*) FROM mb WHERE mb.grp = sc.grp) AS findings FROM sc"""
 )
 def incident_queue(spark, sf_dir):
-    rows = correlate.queue(_found(spark, sf_dir), correlate.Config(order_behaviours=False))
-    return rounded(rows.select(F.col("subject.value").alias("subject"), "combined_confidence", F.size("corroborating_predicates").cast("bigint").alias("behaviours"), "score", F.size("findings").cast("bigint").alias("findings")))
+    rows = correlate.queue(_found(spark, sf_dir), correlate.Config(order_behaviours=False), nested=False)
+    return rounded(rows.select(F.col("subject.value").alias("subject"), "combined_confidence", F.size("corroborating_predicates").cast("bigint").alias("behaviours"), "score", F.col("n_findings").alias("findings")))
 
 
 @query(f"WITH cm AS ({A.CLAIMS}) SELECT finding, 'wrong object' AS violation FROM cm WHERE predicate = 'triggered_signature'")

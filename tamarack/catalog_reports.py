@@ -116,7 +116,7 @@ def evenly_spaced(spark, sf_dir):
 @query(f"WITH {C._GROUPED}, st AS (SELECT grp, predicate, max(confidence) AS c FROM mb GROUP BY 1, 2), sc AS (SELECT grp, round((1 - exp(sum(ln(1 - c)))) * least(1 + 0.5 * greatest(count(*) FILTER (predicate NOT IN ({C._NONCORR})) - 1, 0), 2.5), 9) AS p FROM st GROUP BY 1) SELECT grp AS subject, rank() OVER (ORDER BY p DESC) AS place FROM sc QUALIFY count(*) OVER (PARTITION BY p) = 1")
 def queue_places(spark, sf_dir):
     """Places of the incidents whose priority no other has; ties are broken by severity and content id."""
-    ranked = correlate.queue(C._found(spark, sf_dir)).select(F.col("subject.value").alias("subject"), F.round("priority", 9).alias("p"), F.col("place").cast("bigint").alias("place"))
+    ranked = correlate.queue(C._found(spark, sf_dir), nested=False).select(F.col("subject.value").alias("subject"), F.round("priority", 9).alias("p"), F.col("place").cast("bigint").alias("place"))
     alone = ranked.groupBy("p").agg(F.count("*").alias("n")).where("n = 1")
     return ranked.join(alone, "p", "left_semi").select("subject", "place")
 
@@ -152,7 +152,7 @@ _CONN = {"ts": "ts", "id.orig_h": "src_ip", "id.resp_h": "dst_ip", "id.resp_p":
 @query(f"SELECT {r('ts', 'ts', 6)}, src_ip, dst_ip, dst_port, orig_bytes, n + CASE k WHEN 2 THEN 0 ELSE 3 END AS source_line FROM (SELECT *, source_line % 3 AS k, row_number() OVER (PARTITION BY source_line % 3 ORDER BY source_line) AS n FROM ({A.CONTACTS}))")
 def zeek_conn(spark, sf_dir):
     """A plain log, one in a folder below and one in JSON lines."""
-    rows = A.contacts(spark, sf_dir).orderBy("source_line").collect()
+    rows = A.contacts(spark, sf_dir).sort("source_line")
     out = shared_dir(spark, "zeek")
     part = [rows.where(F.col("source_line") % 3 == k) for k in range(3)]
     sinks.write_lines(sinks.zeek_lines(part[0], _CONN.values()), f"{out}/conn.log", _head(_CONN))
@@ -194,7 +194,7 @@ def netflow_rows(spark, sf_dir):
     far = F.concat_ws(":", "dst_ip", text(F.when(served, 50_000 + k % 100).otherwise(F.col("dst_port"))))
     said = [F.concat(_utc(" "), F.lit(".000")), F.lit("0.5"), F.lit("TCP"), near, F.lit("->"), far, F.lit("S_"), F.lit("0"), F.lit("1"), F.coalesce(text(F.col("orig_bytes")), F.lit("")), F.lit("1"), F.element_at(labels, (k % 3 + 1).cast("int"))]
     out = shared_dir(spark, "netflow")
-    _put(spark, f"{out}/capture", lines)
+    sinks.write_lines(A.contacts(spark, sf_dir).sort("source_line").select(F.concat_ws("\t", *said).alias("value")), f"{out}/capture", ["Date flow start\tDurat\tProt\tSrc"])
     return netflow.load_netflow(spark, out).select("ts", "src_ip", "src_port", "dst_ip", "dst_port", "orig_bytes", "label")
 
 

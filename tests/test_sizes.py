@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack import catalog, catalog_reports
+from tamarack.plans import correlate
 from tamarack.sources import sinks
 from tamarack.sources.lines import numbered_lines
 
@@ -27,3 +28,12 @@ def test_lines_of_many_parts_keep_their_order(spark, tmp_path):
     assert (tmp_path / "x.log").read_text().split("\n") == ["head", *map(str, range(999, -1, -1)), ""]
     read = numbered_lines(spark, str(tmp_path), "x.log").collect()
     assert sorted((r.source_line, r.value) for r in read)[1:] == [(n + 2, str(999 - n)) for n in range(1000)]
+
+
+def test_incidents_without_lists(spark):
+    found = catalog._found(spark, DATA)
+    for cfg in (correlate.Config(), correlate.Config(attach_unary=False, order_behaviours=False)):
+        whole, bare = correlate.queue(found, cfg), correlate.queue(found, cfg, nested=False)
+        assert "findings" not in bare.columns
+        shown = lambda df: sorted(df.select(*bare.columns).collect(), key=lambda r: r.place)
+        assert shown(whole) == shown(bare) and whole.where("n_findings <> size(findings)").count() == 0
