@@ -215,6 +215,37 @@ def test_bradley_terry_fit():
     assert ((s >= 0.5) == (raw >= model.threshold)).all() and np.mean((s >= 0.5) == better) > 0.75
 
 
+def _gradient_of_all_pairs(model, x, better, penalty):
+    f = model.features(x)
+    diff = (f[better][:, None] - f[~better]).reshape(-1, f.shape[1])
+    return diff.T @ (1 / (1 + np.exp(-(diff @ model.weights))) - 1) / len(diff) + penalty * model.weights
+
+
+@pytest.mark.parametrize("few", [1 << 16, 40])
+def test_fit_uses_all_pairs(monkeypatch, few):
+    monkeypatch.setattr(quality_model, "_FEW", few, raising=False)
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=(250, 4)), rng.standard_cauchy(size=(250, 3)), np.round(rng.normal(size=(250, 2)))):
+        better = x[:, 0] + rng.normal(scale=0.6, size=len(x)) > 0.3
+        model = quality_model.fit(x, better, penalty=1e-2)
+        assert np.abs(_gradient_of_all_pairs(model, x, better, 1e-2)).max() < 1e-9
+        assert model.cuts == pytest.approx(np.quantile(x, quality_model._QUANTILES, axis=0), abs=1e-12)
+        assert model.threshold == pytest.approx(np.quantile(model.raw(x), np.mean(~better)), abs=1e-12)
+
+
+def test_training_uses_all_rows(spark):
+    # more rows than the 20,000 that training once took, in several parts
+    df = spark.range(40_000, numPartitions=5).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("a b "), (F.col("id") % 7).cast("int")), F.hex(F.xxhash64("id"))).alias("text"))
+    labels = df.select("doc_id", (F.xxhash64("doc_id", F.lit(1)) % 7 < F.col("doc_id") % 7 - 3).cast("int").alias("quality"))
+    model = quality_model.train(df, labels)
+    rows = df.join(labels, "doc_id").where(~quality_model.held_out("doc_id")).collect()
+    x, better = quality_model.measures([r.text.encode() for r in rows]), np.array([r.quality > 0 for r in rows])
+    assert len(rows) > 26_000 and model.cuts == pytest.approx(np.quantile(x, quality_model._QUANTILES, axis=0), abs=1e-12)
+    alone = quality_model.fit(x, better)
+    assert model.scales == pytest.approx(alone.scales, rel=1e-9) and model.weights == pytest.approx(alone.weights, abs=1e-6)
+    assert model.threshold == pytest.approx(np.quantile(model.raw(x), np.mean(~better)), abs=1e-12)
+
+
 # --- mixing: targets by another way, and the tree's shards
 
 
