@@ -1,5 +1,6 @@
 """Queries of tables that the driver can't hold: rows are written and read by executors."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,23 @@ def test_incidents_without_lists(spark):
         assert "findings" not in bare.columns
         shown = lambda df: sorted(df.select(*bare.columns).collect(), key=lambda r: r.place)
         assert shown(whole) == shown(bare) and whole.where("n_findings <> size(findings)").count() == 0
+
+
+def test_behaviours_that_tie_are_chosen_by_id(spark, tmp_path):
+    """Eight findings of each group, predicate, time and confidence: the SQL leaves them open, the rule here is (first_seen, confidence, id)."""
+    keys = spark.range(12_000).select((F.col("id") % 1500 + F.floor(F.col("id") / 1500) * (86_400 * 707)).alias("c_custkey"))
+    keys.repartition(5, "c_custkey").sortWithinPartitions(F.desc("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    catalog._found(spark, str(tmp_path)).select(F.col("evidence")[0]["summary"].alias("finding"), "id").write.parquet(str(tmp_path / "ids"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    duck.sql(f"CREATE TABLE ids AS SELECT * FROM '{tmp_path}/ids/*.parquet'")
+
+    def with_ties_by(order):
+        text = catalog.ORACLES["precedes_edges"]
+        for part, new in (("ORDER BY first_ts, confidence DESC", f"ORDER BY first_ts, confidence DESC, {order}"), ("AS n FROM mb)", "AS n FROM mb JOIN ids USING (finding))")):
+            assert text.count(part) == 1
+            text = text.replace(part, new)
+        return sorted(duck.sql(f"SELECT subject, earlier, later, separation, confidence FROM ({text})").fetchall())
+
+    got = catalog.QUERIES["precedes_edges"](spark, str(tmp_path)).select("subject", "earlier", "later", "separation", "confidence").collect()
+    assert sorted(map(tuple, got)) == with_ties_by("id") != with_ties_by("id DESC")
