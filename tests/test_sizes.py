@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack import catalog, catalog_reports
+from tamarack import adapters, catalog, catalog_reports
 from tamarack.plans import correlate
 from tamarack.sources import sinks
 from tamarack.sources.lines import numbered_lines
@@ -58,3 +58,32 @@ def test_behaviours_that_tie_are_chosen_by_id(spark, tmp_path):
 
     got = catalog.QUERIES["precedes_edges"](spark, str(tmp_path)).select("subject", "earlier", "later", "separation", "confidence").collect()
     assert sorted(map(tuple, got)) == with_ties_by("id") != with_ties_by("id DESC")
+
+
+def _digest(prefix, **fields):
+    """content_id() as SQL."""
+    body = " || ',' || ".join(f"""'"{k}":' || coalesce(to_json({fields[k]})::VARCHAR, 'null')""" for k in sorted(fields))
+    return f"'{prefix}_' || left(sha256('{{' || {body} || '}}'), 16)"
+
+
+def test_sql_with_ids_of_its_own_breaks_ties_alike(spark, tmp_path):
+    """The ids that break ties are made in DuckDB too, so nothing of Spark's is in what its rows are held against."""
+    keys = spark.range(12_000).select((F.col("id") % 1500 + F.floor(F.col("id") / 1500) * (86_400 * 707)).alias("c_custkey"))
+    keys.repartition(5, "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    cited = _digest("art", source="'<aggregate>'", locator="'-'")
+    proof = _digest("ev", kind="'stated'", payload="""'{"finding":' || to_json(finding)::VARCHAR || '}'""", artifacts=cited)
+    entity = lambda kind, value: _digest("ent", type=kind, value=value)
+    subject, target = entity("CASE WHEN object IS NULL THEN 'ip' ELSE 'host' END", "subject"), entity("'ip'", "object")
+    own = _digest("fnd", predicate="predicate", subject=subject, object=f"CASE WHEN object IS NOT NULL THEN {target} END", evidence=proof)
+    text = catalog.ORACLES["precedes_edges"]
+    for part, new in (("ORDER BY first_ts, confidence DESC", "ORDER BY first_ts, confidence DESC, id"), ("AS n FROM mb)", f"AS n FROM mb JOIN (SELECT finding, {own} AS id FROM cm) USING (finding))")):
+        assert text.count(part) == 1
+        text = text.replace(part, new)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    ids = catalog._found(spark, str(tmp_path)).select(F.col("evidence")[0]["summary"], "id").collect()
+    assert sorted(map(tuple, ids)) == sorted(duck.sql(f"SELECT finding, {own} FROM ({adapters.CLAIMS})").fetchall())
+    got = catalog.QUERIES["precedes_edges"](spark, str(tmp_path)).select("subject", "earlier", "later", "separation", "confidence").collect()
+    for threads in (1, 4):
+        duck.sql(f"SET threads = {threads}")
+        assert sorted(map(tuple, got)) == sorted(duck.sql(f"SELECT subject, earlier, later, separation, confidence FROM ({text})").fetchall())
